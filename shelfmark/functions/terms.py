@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from unicodedata import category
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,22 +32,45 @@ def terms(text: Column) -> Column:
     return F.filter(words(text), is_term)
 
 
+def is_word(token: str) -> bool:
+    """True when a token could be (part of) a term: letters and digits only."""
+    return token != "" and all(category(c)[0] in "LN" for c in token)
+
+
 def any_term_contains(text: Column, token: str) -> Column:
     """True when one indexed term contains ``token``.
 
-    A plain substring test on the lower-cased text comes first: it is a
-    necessary condition and spares most rows the split.
+    A token with other characters never matches. A token that no stop word contains
+    matches exactly when the lower-cased text contains it, so the text is not
+    split; otherwise the same test goes first and spares most rows the split.
     """
+    if not is_word(token):
+        return F.lit(False)
     plain = F.lower(text).contains(token)
-    return F.coalesce(plain & F.exists(terms(text), lambda t: t.contains(token)), F.lit(False))
+    if any(token in word for word in STOP_WORDS):
+        plain = plain & F.exists(terms(text), lambda t: t.contains(token))
+    return F.coalesce(plain, F.lit(False))
+
+
+def _whole_word(token: str) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}]){token}(?![\p{{L}}\p{{N}}])"
+
+
+def _can_be_term(token: str) -> bool:
+    return is_word(token) and token not in STOP_WORDS
 
 
 def has_term(text: Column, token: str) -> Column:
-    """True when ``token`` is one of the indexed terms."""
-    plain = F.lower(text).contains(token)
-    return F.coalesce(plain & F.array_contains(terms(text), token), F.lit(False))
+    """True when ``token`` is one of the indexed terms: a whole word of the lower-cased text."""
+    if not _can_be_term(token):
+        return F.lit(False)
+    low = F.lower(text)
+    found = low.contains(token) & low.rlike(_whole_word(token))
+    return F.coalesce(found, F.lit(False))
 
 
 def term_count(text: Column, token: str) -> Column:
     """How often ``token`` occurs among the indexed terms."""
-    return F.size(F.filter(terms(text), lambda t: t == F.lit(token)))
+    if not _can_be_term(token):
+        return F.lit(0)
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(_whole_word(token))), F.lit(0))

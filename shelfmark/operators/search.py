@@ -5,6 +5,7 @@ Hits carry ids and scores only. Whole rows are read for one page at the end.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 from datetime import datetime, timedelta
@@ -12,9 +13,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.ids import id_struct, page_size_or_default, round9
-from shelfmark.functions.terms import any_term_contains, term_count, terms
-from shelfmark.operators.predicates import match, pattern_predicate
+from shelfmark.functions.ids import round9
+from shelfmark.functions.terms import any_term_contains, has_term, term_count, terms
+from shelfmark.operators.predicates import match
 from shelfmark.schema import (
     HIT_LIST_SECONDS,
     HITS_PER_SHARD,
@@ -45,10 +46,8 @@ def idf(documents: int, df: int) -> float:
 def description_weights(entries: DataFrame, tokens: Sequence[str]) -> dict[str, float]:
     """Squared idf per token, from one aggregation over the catalog."""
     distinct = sorted(set(tokens))
-    found = F.col("_terms")
-    counts = entries.select(terms(F.col("description")).alias("_terms")).agg(
-        F.count(F.lit(1)),
-        *(F.coalesce(F.sum(F.array_contains(found, t).cast("bigint")), F.lit(0)) for t in distinct),
+    counts = entries.agg(
+        F.count(F.lit(1)), *(F.count_if(has_term(F.col("description"), t)) for t in distinct)
     )
     n, *dfs = counts.first()
     return {t: idf(n, df) ** 2 if n else 0.0 for t, df in zip(distinct, dfs)}
@@ -244,8 +243,6 @@ def search_union(
 
 def pattern_key(pattern: Pattern) -> str:
     """A stable name for equal patterns."""
-    import hashlib
-
     return hashlib.md5(repr(pattern).encode()).hexdigest()
 
 
@@ -270,27 +267,3 @@ def cached_hits(spark: SparkSession, pattern: Pattern, now: datetime, path: str)
     newest = young.agg(F.max("cached_at")).scalar()
     return young.filter(F.col("cached_at") == newest).drop("pattern_key", "cached_at")
 
-
-__all__ = [
-    "cached_hits",
-    "dedup",
-    "fetch_entries",
-    "fetch_ids",
-    "final_order",
-    "first_reply",
-    "id_struct",
-    "match",
-    "merge_hits",
-    "num_hits",
-    "page",
-    "page_size_or_default",
-    "pattern_predicate",
-    "retain",
-    "round_complete",
-    "score",
-    "search",
-    "search_union",
-    "shard_topk",
-    "shard_topk_entries",
-    "store_hits",
-]

@@ -95,7 +95,7 @@ def _stored_columns(df: DataFrame) -> DataFrame:
 
 
 def entries_append(spark: Spark, d: str) -> DataFrame:
-    return _stored_columns(catalog.read_entries(spark, _stored(spark, d)))
+    return _stored_columns(catalog.read_entries(spark, _stored(spark, d), complete=True))
 
 
 def entries_delete_where(spark: Spark, d: str) -> DataFrame:

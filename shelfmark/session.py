@@ -74,8 +74,8 @@ def bounded_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame,
     The flag says whether it is small. The check reads at most ``rows + 1`` rows
     and computes ``df`` only once when it is small.
     """
-    head = df.limit(rows + 1).collect()
-    if len(head) > rows:
+    head = df.limit(rows + 1).toArrow()
+    if head.num_rows > rows:
         return df, False
     return df.sparkSession.createDataFrame(head, df.schema), True
 

@@ -42,9 +42,15 @@ def fill_entries(df: DataFrame) -> DataFrame:
     return _filled(df, {**READ_DEFAULTS, "entry_id": ID_DEFAULT})
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Read the store. The schema is fixed; missing fields get their defaults."""
-    return fill_entries(spark.read.schema(ENTRY_SCHEMA).parquet(path))
+def read_entries(spark: SparkSession, path: str, complete: bool = False) -> DataFrame:
+    """Read the store. The schema is fixed; missing fields get their defaults.
+
+    ``complete`` says that the store was written by ``append_entries``, which fills
+    the defaults: columns are then read as they are, and filters on them reach the
+    Parquet scan.
+    """
+    stored = spark.read.schema(ENTRY_SCHEMA).parquet(path)
+    return stored if complete else fill_entries(stored)
 
 
 def normalize_entries(df: DataFrame, ingest_ts: datetime | Column) -> DataFrame:
@@ -60,14 +66,15 @@ def normalize_entries(df: DataFrame, ingest_ts: datetime | Column) -> DataFrame:
 
 
 def append_entries(df: DataFrame, path: str) -> None:
-    """Add entries to the store.
+    """Add entries to the store, missing fields filled.
 
     Rows are spread by range over category and id before the write: a category
     that holds a third of all rows becomes many files, and files cover narrow id
     ranges, so id filters skip whole files.
     """
     (
-        df.repartitionByRange("category", *ID)
+        fill_entries(df)
+        .repartitionByRange("category", *ID)
         .sortWithinPartitions("category", *ID)
         .write.mode("append")
         .partitionBy("category")

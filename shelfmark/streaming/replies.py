@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.schema import QUERY_TIMEOUT_SECONDS
 
+# Parts of a round in the reply joins.
+SALTS = 8
+
 
 def stream_first_reply(replies: DataFrame, delay: str = f"{QUERY_TIMEOUT_SECONDS} seconds") -> DataFrame:
     """The first reply of each (round, shard) that arrives; later ones are ignored."""
@@ -18,16 +21,25 @@ def reply_interval_join(
     replies: DataFrame,
     timeout: str = f"{QUERY_TIMEOUT_SECONDS} seconds",
     how: str = "inner",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Replies of the right round that arrive within the timeout.
 
     Works on tables and on streams. Columns: queries (round_id, query_ts), replies
-    (round_id, shard_id, ts).
+    (round_id, shard_id, ts). A round may draw any number of replies, so they are
+    spread over ``salts`` parts and the one row of the query is repeated for each;
+    with an outer join an unanswered query therefore appears once per part.
     """
-    q, r = queries.alias("q"), replies.alias("r")
+    q = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("q")
+    spread = F.pmod(F.xxhash64("shard_id", "ts"), F.lit(salts)).cast("int")
+    r = replies.withColumn("_salt", spread).alias("r")
+    same_round = (F.col("q.round_id") == F.col("r.round_id")) & (F.col("q._salt") == F.col("r._salt"))
     in_time = F.expr(f"r.ts >= q.query_ts AND r.ts <= q.query_ts + INTERVAL {timeout}")
-    joined = q.join(r, (F.col("q.round_id") == F.col("r.round_id")) & in_time, how)
-    return joined.select("q.*", *(F.col(f"r.{c}") for c in replies.columns if c != "round_id"))
+    joined = q.join(r, same_round & in_time, how)
+    return joined.select(
+        *(F.col(f"q.{c}") for c in queries.columns),
+        *(F.col(f"r.{c}") for c in replies.columns if c != "round_id"),
+    )
 
 
 def stream_reply_join(
