@@ -36,7 +36,7 @@ def file_name_score(tokens: Sequence[str]) -> Column:
     """m * m / T for m of T tokens found."""
     found = [any_term_contains(F.col("file_name"), t).cast("int") for t in tokens]
     m = sum(found[1:], found[0])
-    return (m * m).cast("double") / F.lit(float(len(tokens)))
+    return F.pow(m, F.lit(2.0)) / F.lit(float(len(tokens)))
 
 
 def idf(documents: int, df: int) -> float:
