@@ -53,7 +53,9 @@ def any_term_contains(text: Column, token: str) -> Column:
 
 
 def _whole_word(token: str) -> str:
-    return rf"(?<![\p{{L}}\p{{N}}]){token}(?![\p{{L}}\p{{N}}])"
+    # The token comes first: most positions then fail on one character, before the
+    # character classes on either side are looked at.
+    return rf"{token}(?<![\p{{L}}\p{{N}}]{token})(?![\p{{L}}\p{{N}}])"
 
 
 def _can_be_term(token: str) -> bool:

@@ -134,20 +134,23 @@ def following(
     Keys must be unique within a group.
     """
     cut = df.withColumn("_block", F.floor(F.col(key) / F.lit(block))).withColumn("_value", value)
+    # Backwards, so that the frame grows with the rows instead of being scanned anew for each.
     ahead = (
         Window.partitionBy(*groups, "_block")
-        .orderBy(key)
-        .rowsBetween(1, Window.unboundedFollowing)
+        .orderBy(F.desc(key))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = cut.withColumn("_inside", F.first("_value", ignorenulls=True).over(ahead))
+    inside = cut.withColumn("_inside", F.last("_value", ignorenulls=True).over(ahead))
     heads = cut.groupBy(*groups, "_block").agg(
         F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col(key))).alias("_head")
     )
     later = (
-        Window.partitionBy(*groups).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+        Window.partitionBy(*groups)
+        .orderBy(F.desc("_block"))
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     beyond = heads.select(
-        *groups, "_block", F.first("_head", ignorenulls=True).over(later).alias("_beyond")
+        *groups, "_block", F.last("_head", ignorenulls=True).over(later).alias("_beyond")
     )
     return (
         inside.join(beyond, [*groups, "_block"])

@@ -11,7 +11,7 @@ from shelfmark.functions.ids import id_literal, id_struct, unit_literal
 from shelfmark.operators.ordering import select_rank, select_unit_rank
 from shelfmark.operators.units import units_after
 from shelfmark.schema import MAX_DEPTH, SPLIT_THRESHOLD, UNIT
-from shelfmark.session import durable, join_side
+from shelfmark.session import bounded_side, durable, join_side
 
 Id = tuple[int, int, int]
 
@@ -115,17 +115,19 @@ def shard_until_fits(
         due = sizes.filter(
             (F.col("_size") >= threshold) & (F.col("depth") < max_depth) & ~F.col("_stuck")
         ).select(*shard, "_first")
-        if due.isEmpty():
-            break
         wanted = units.join(due.select(*shard), shard, "left_semi")
         picked = select_unit_rank(wanted, shard, F.floor(F.col("total") / 2), "num_entries")
-        medians = picked.join(due, shard).select(
-            *shard,
-            F.col("epoch_id").alias("median_epoch"),
-            F.col("leader_id").alias("median_leader"),
-            (F.struct("epoch_id", "leader_id") == F.col("_first")).alias("_unsplittable"),
+        medians, small = bounded_side(
+            picked.join(due, shard).select(
+                *shard,
+                F.col("epoch_id").alias("median_epoch"),
+                F.col("leader_id").alias("median_leader"),
+                (F.struct("epoch_id", "leader_id") == F.col("_first")).alias("_unsplittable"),
+            )
         )
-        marked = join_side(units, medians, shard, "left")
+        if small and medians.isEmpty():
+            break
+        marked = units.join(F.broadcast(medians) if small else medians, shard, "left")
         unsplittable = F.coalesce("_unsplittable", F.lit(False))
         moved = _move(marked, F.col("median_epoch").isNotNull() & ~unsplittable)
         units = durable(

@@ -209,13 +209,13 @@ def _commit(spark: Spark, d: str) -> tuple[str, str, int]:
 
 def _ordered_commit(spark: Spark, d: str) -> DataFrame:
     path, _, _ = _commit(spark, d)
-    return state.read_batches(spark, path).select(*ID, "hash")
+    return ordered.released(spark, path).select(*ID, "hash")
 
 
 def _stalled(spark: Spark, d: str) -> DataFrame:
-    _, state_path, batches = _commit(spark, d)
-    held = spark.read.parquet(f"{state_path}/held/batch={batches - 1}")
-    return ordered.stalled(held, ordered.committed(spark, state_path, batches))
+    path, state_path, batches = _commit(spark, d)
+    waiting = ordered.held(spark, path, _arriving(spark, d).schema, batches - 1)
+    return ordered.stalled(waiting, ordered.committed(spark, state_path, batches))
 
 
 PREFIX = """counted AS (SELECT *, row_number() OVER (PARTITION BY epoch_id, leader_id ORDER BY entry_id) - 1 AS rn FROM arriving)"""

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.counts import latest_unit
 from shelfmark.operators.units import tracked_unit
 from shelfmark.schema import ID, UNIT
-from shelfmark.session import join_side
+from shelfmark.session import bounded_side, durable, join_side
 from shelfmark.streaming.state import DeltaTable, max_per_key, run_batches, write_batch
 
 FRONTIER_SCHEMA = T.StructType(
@@ -60,7 +60,11 @@ def release(waiting: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFra
     advanced = (
         possible.join(ids, ID, "left_anti").groupBy(*UNIT).agg(F.min("entry_id").alias("next_id"))
     )
-    marked = join_side(rows, advanced, UNIT).withColumn(
+    # Needed for the rows and for the state, so it is computed once.
+    advanced, small = bounded_side(advanced)
+    if not small:
+        advanced = durable(advanced)
+    marked = rows.join(F.broadcast(advanced) if small else advanced, UNIT).withColumn(
         "released", F.col("entry_id") < F.col("next_id")
     )
     return marked.drop("next_id"), advanced
@@ -71,36 +75,45 @@ def stream_ordered_commit(
 ) -> StreamingQuery:
     """Release the entries of a stream in id order, batch after batch.
 
-    ``path`` holds the released entries per batch. The state holds the frontier as
-    deltas and the waiting entries as one folder per batch: ids lost for ever stay
-    there, where ``stalled`` reports them.
+    ``path`` gets one folder per batch, split into released and waiting entries (see
+    ``released`` and ``held``). The state holds the frontier. Ids that are lost for
+    ever keep their successors waiting; ``stalled`` reports them.
     """
-    frontier = frontier_table(f"{state_path}/frontier")
+    frontier = frontier_table(state_path)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         waiting = batch
         if batch_id > 0:
-            held = spark.read.schema(batch.schema).parquet(f"{state_path}/held/batch={batch_id - 1}")
-            waiting = held.unionByName(batch)
+            waiting = held(spark, path, batch.schema, batch_id - 1).unionByName(batch)
         marked, advanced = release(waiting, frontier.before(spark, batch_id))
-        # One evaluation: later steps read what was written.
-        stored = write_batch(marked, f"{state_path}/marked", batch_id)
-        write_batch(stored.filter("released").drop("released"), path, batch_id)
-        write_batch(stored.filter("NOT released").drop("released"), f"{state_path}/held", batch_id)
+        marked.write.mode("overwrite").partitionBy("released").parquet(f"{path}/batch={batch_id}")
         frontier.add(advanced, batch_id)
 
     return run_batches(stream, each, checkpoint)
 
 
+def released(spark: SparkSession, path: str) -> DataFrame:
+    """All entries released so far, with the batch that released them."""
+    # Folder names read back as text.
+    return spark.read.parquet(path).filter("released = 'true'").drop("released")
+
+
+def held(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The entries that wait after a batch."""
+    marked = T.StructType([*schema.fields, T.StructField("released", T.BooleanType())])
+    rows = spark.read.schema(marked).parquet(f"{path}/batch={batch_id}")
+    return rows.filter("NOT released").drop("released")
+
+
 def committed(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
     """The frontier after the first ``batches`` batches."""
-    return frontier_table(f"{state_path}/frontier").before(spark, batches)
+    return frontier_table(state_path).before(spark, batches)
 
 
-def stalled(held: DataFrame, frontier: DataFrame) -> DataFrame:
+def stalled(waiting: DataFrame, frontier: DataFrame) -> DataFrame:
     """Units that wait: the missing id and the range that is held back behind it."""
-    ranges = held.groupBy(*UNIT).agg(
+    ranges = waiting.groupBy(*UNIT).agg(
         F.min("entry_id").alias("held_from"),
         F.max("entry_id").alias("held_to"),
         F.count(F.lit(1)).alias("held"),

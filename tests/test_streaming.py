@@ -58,7 +58,7 @@ def test_ordered_commit_over_many_batches(spark, monkeypatch):
 
     assert run(parts[:3]) == 3
     assert run(parts[3:]) == 5
-    out = state.read_batches(spark, path)
+    out = ordered.released(spark, path)
     released = [(r["epoch_id"], r["entry_id"]) for r in out.collect()]
     expected = {(e, i) for e, _, i in rows if (e, i) < (3, 7) or e > 3}
     assert len(released) == len(set(released)) and set(released) == expected
@@ -67,7 +67,7 @@ def test_ordered_commit_over_many_batches(spark, monkeypatch):
         seen = [(r["batch"], r["entry_id"]) for r in out.filter(f"epoch_id = {unit}").collect()]
         assert [i for _, i in sorted(seen)] == list(range(len(seen)))
     frontier = ordered.committed(spark, state_path, 5)
-    held = spark.read.parquet(f"{state_path}/held/batch=4")
+    held = ordered.held(spark, path, spark.createDataFrame([], schema).schema, 4)
     waiting = ordered.stalled(held, frontier).collect()
     assert [(r["epoch_id"], r["next_id"], r["held_from"], r["held_to"]) for r in waiting] == [(3, 7, 8, 39)]
     everything = spark.createDataFrame(rows, schema)
