@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from shelfmark.operators import batch_search, postings, search, shards, units
 from shelfmark.plans import fixtures as fx
@@ -114,8 +113,15 @@ def test_expanded_tokens_equal_substring_search(spark, entries):
     assert got == sorted((t[0], w) for t in tokens.collect() for w in words if t[0] in w)
 
 
-def test_many_query_terms_fall_back_to_a_shuffle(entries, monkeypatch):
-    monkeypatch.setattr("shelfmark.session.BROADCAST_ROWS", 5)
-    wanted = postings.term_rows(entries).select("field", "term").distinct()
-    some = postings.build_postings(entries, only=wanted)
-    assert some.agg(F.sum("tf")).first() == postings.build_postings(entries).agg(F.sum("tf")).first()
+def test_postings_of_chosen_terms(spark, entries, monkeypatch):
+    """Counted in the row, kept by a broadcast, kept by a shuffle: the same postings."""
+    chosen = [("description", t) for t in ("ther", "inea", "the", "ou")] + [("file_name", "ing")]
+    only = spark.createDataFrame(chosen, "field string, term string")
+    whole = postings.build_postings(entries).join(only, ["field", "term"], "left_semi")
+    expected = sorted(rows(whole.select("field", "term", *ID, "length", "tf")))
+    for counted, broadcast in ((32, 50_000), (1, 50_000), (1, 2)):
+        monkeypatch.setattr(postings, "COUNTED_TERMS", counted)
+        monkeypatch.setattr("shelfmark.session.join_side.__defaults__", ("inner", broadcast))
+        got = postings.build_postings(entries, only=only)
+        assert sorted(rows(got.select("field", "term", *ID, "length", "tf"))) == expected
+    assert expected
