@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.ids import id_struct
 from shelfmark.operators.ordering import select_rank
 from shelfmark.schema import SHARD, SPLIT_THRESHOLD, UNIT
 
@@ -132,7 +131,3 @@ def shard_due(df: DataFrame, threshold: int = SPLIT_THRESHOLD) -> DataFrame:
 def partition_counts(df: DataFrame) -> DataFrame:
     """Shards per category."""
     return df.groupBy("category").agg(F.count_distinct("shard_id").alias("shards"))
-
-
-def ids_in_order(df: DataFrame) -> DataFrame:
-    return df.orderBy(id_struct())

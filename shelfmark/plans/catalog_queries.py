@@ -365,7 +365,12 @@ UNION ALL SELECT *, 'open' AS rule FROM part_entries WHERE file_size >= 40""",
         lambda df: p.find_entry(df, (1, 101, 7)), "epoch_id = 1 AND leader_id = 101 AND entry_id = 7 LIMIT 1"
     ),
     "unit_suffix": Query(
-        lambda spark, d: p.unit_suffix(fx.entries(spark, d), (1, 100, 20), 25).select("epoch_id", "leader_id")
+        lambda spark, d: p.unit_suffix(fx.entries(spark, d), (1, 100, 20), 25).select("epoch_id", "leader_id"),
+        # Any 25 rows will do, so only what they share is compared.
+        fx.sql(
+            "entries",
+            "SELECT epoch_id, leader_id FROM entries WHERE epoch_id = 1 AND leader_id = 100 AND entry_id >= 20 LIMIT 25",
+        ),
     ),
     "unit_suffix_sorted": _entry_filter(
         lambda df: p.unit_suffix_sorted(df, (1, 100, 20), 25),

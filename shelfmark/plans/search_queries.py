@@ -181,7 +181,7 @@ def _hitlist_cache(spark: Spark, d: str) -> DataFrame:
     """Three hit lists are kept; the one that is young enough and newest is read."""
     path, now = work_dir(spark, "hits"), datetime(2024, 1, 1, 12)
     merged = _merged(spark, d, TOKENS_ONLY)
-    search.store_hits(merged.limit(3), TOKENS_ONLY, now - timedelta(seconds=20), path)
+    search.store_hits(search.page(merged), TOKENS_ONLY, now - timedelta(seconds=20), path)
     search.store_hits(merged, TOKENS_ONLY, now - timedelta(seconds=10), path)
     search.store_hits(_merged(spark, d, DESCRIBED), DESCRIBED, now, path)
     return search.cached_hits(spark, TOKENS_ONLY, now, path)

@@ -9,9 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest side table that is copied to every executor. Anything above it is
-# joined by shuffle instead.
+# Largest side table that is copied to every executor. Anything above one of these
+# is joined by shuffle instead.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 * 2**20
 
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -76,11 +77,12 @@ def durable(df: DataFrame) -> DataFrame:
 def bounded_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Return ``df`` as a literal table if it has at most ``rows`` rows, else ``df`` itself.
 
-    The flag says whether it is small. The check reads at most ``rows + 1`` rows
-    and computes ``df`` only once when it is small.
+    The flag says whether it is small, in rows and in bytes. The check reads at most
+    ``rows + 1`` rows of what must be a narrow table, and computes it only once when
+    it is small.
     """
     head = df.limit(rows + 1).toArrow()
-    if head.num_rows > rows:
+    if head.num_rows > rows or head.nbytes > BROADCAST_BYTES:
         return df, False
     return df.sparkSession.createDataFrame(head, df.schema), True
 
