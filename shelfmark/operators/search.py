@@ -28,6 +28,9 @@ from shelfmark.schema import (
 )
 from shelfmark.session import bounded_side, join_side
 
+# Longest list of epochs that is pushed into a scan.
+LISTED_EPOCHS = 1000
+
 
 # -- score ----------------------------------------------------------------------------
 
@@ -162,27 +165,28 @@ def retain(hits: DataFrame, page_hits: DataFrame) -> DataFrame:
 # -- fetch phase ----------------------------------------------------------------------
 
 
-def _rows_of(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    """Join a bounded id list to the entries.
+def rows_of(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Join a list of ids to the entries.
 
-    For a short list the epochs go into the scan as a filter, so files and row
-    groups of other epochs are not read.
+    The epochs of a short list go into the scan as a filter, so files and row groups
+    of other epochs are not read.
     """
-    side, small = bounded_side(keys, MERGED_HIT_CAP)
-    if small:
-        epochs = sorted({r["epoch_id"] for r in side.select("epoch_id").collect()})
+    side, small = bounded_side(keys)
+    if not small:
+        return entries.join(side, ID)
+    epochs = sorted(r[0] for r in side.select("epoch_id").distinct().collect())
+    if len(epochs) <= LISTED_EPOCHS:
         entries = entries.filter(F.col("epoch_id").isin(epochs) if epochs else F.lit(False))
-        return entries.join(F.broadcast(side), ID)
-    return join_side(entries, keys, ID)
+    return entries.join(F.broadcast(side), ID)
 
 
 def fetch_entries(entries: DataFrame, page_hits: DataFrame) -> DataFrame:
     """Whole rows of a page with their scores; ids that are not stored drop out."""
-    return _rows_of(entries, page_hits.select(*ID, "score"))
+    return rows_of(entries, page_hits.select(*ID, "score"))
 
 
 def fetch_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
-    return _rows_of(entries, ids.select(*ID).distinct())
+    return rows_of(entries, ids.select(*ID).distinct())
 
 
 def final_order(fetched: DataFrame, best_first: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from shelfmark.plans.telemetry_queries import (
     WINDOW,
     overview_sql,
 )
-from shelfmark.plans.unit_queries import BROKEN, _broken_units
+from shelfmark.plans.unit_queries import BROKEN, TRACKED, _broken_units
 from shelfmark.schema import ID, UNIT
 from shelfmark.session import work_dir
 from shelfmark.sources import dumps
@@ -352,9 +352,7 @@ HAVING count(*) FILTER (entry_id <> rn) > 0""",
         _unit_advance,
         fx.sql(
             "units",
-            """SELECT epoch_id, leader_id, num_entries AS next_id, num_entries, status, pull_status FROM broken
-WHERE epoch_id <= (SELECT min(epoch_id) FROM broken b WHERE epoch_id + 1 NOT IN (SELECT epoch_id FROM broken))
-ORDER BY epoch_id DESC, leader_id DESC LIMIT 1""",
+            TRACKED,
             BROKEN,
         ),
     ),

@@ -71,6 +71,14 @@ def _broken_units(spark: Spark, d: str) -> DataFrame:
 BROKEN = """broken AS (SELECT * FROM units WHERE epoch_id <> 4 AND NOT (epoch_id % 6 = 5 AND leader_id = 101))"""
 
 
+# All entries are committed, so a unit is done when it is closed or skipped. The first
+# one that is not done is tracked, else the last one.
+TRACKED = """SELECT epoch_id, leader_id, num_entries AS next_id, num_entries, status, pull_status FROM (
+SELECT *, status = 'COMPLETED' OR pull_status = 'SKIP' AS done FROM broken
+WHERE epoch_id <= (SELECT min(epoch_id) FROM broken b WHERE epoch_id + 1 NOT IN (SELECT epoch_id FROM broken)))
+ORDER BY done, CASE WHEN done THEN -epoch_id ELSE epoch_id END, CASE WHEN done THEN -leader_id ELSE leader_id END LIMIT 1"""
+
+
 def _reports_in_sequence(spark: Spark, d: str) -> DataFrame:
     """Unit reports numbered by replica, as they would arrive."""
     rows = fx.unit_reports(spark, d)
@@ -375,9 +383,7 @@ LEFT JOIN units u ON u.epoch_id = a.epoch_id AND u.leader_id = a.leader_id""",
         _tracked,
         fx.sql(
             "units",
-            """SELECT epoch_id, leader_id, num_entries AS next_id, num_entries, status, pull_status FROM broken
-WHERE epoch_id <= (SELECT min(epoch_id) FROM broken b WHERE epoch_id + 1 NOT IN (SELECT epoch_id FROM broken))
-ORDER BY epoch_id DESC, leader_id DESC LIMIT 1""",
+            TRACKED,
             BROKEN,
         ),
     ),

@@ -42,32 +42,32 @@ def release(waiting: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFra
 
     Ids below the frontier are dropped, as are repeats. From the frontier on, the
     first id that is not there is found by an anti-join; everything below it goes
-    out at once. Units advance independently, so a shard is never one task.
+    out at once. Units advance independently, so a shard is never one task. The ids
+    are written apart first, so that whole entries are read once only.
     """
-    asked = waiting.select(*UNIT).distinct()
-    known = join_side(asked, frontier, UNIT, "left").select(
-        *UNIT, F.coalesce("next_id", F.lit(0)).alias("next_id")
-    )
-    rows = (
-        join_side(waiting.dropDuplicates(ID), known, UNIT)
-        .filter(F.col("entry_id") >= F.col("next_id"))
-        .drop("next_id")
-    )
-    ids = rows.select(*ID)
-    possible = ids.select(*UNIT, (F.col("entry_id") + 1).alias("entry_id")).unionByName(
-        known.select(*UNIT, F.col("next_id").alias("entry_id"))
-    )
-    advanced = (
-        possible.join(ids, ID, "left_anti").groupBy(*UNIT).agg(F.min("entry_id").alias("next_id"))
+    ids = durable(waiting.select(*ID).distinct())
+    known = join_side(ids.select(*UNIT).distinct(), frontier, UNIT, "left").select(
+        *UNIT, F.coalesce("next_id", F.lit(0)).alias("start")
     )
+    fresh = join_side(ids, known, UNIT).filter(F.col("entry_id") >= F.col("start"))
+    possible = fresh.select(*UNIT, "start", (F.col("entry_id") + 1).alias("entry_id"))
+    possible = possible.unionByName(known.withColumn("entry_id", F.col("start")))
     # Needed for the rows and for the state, so it is computed once.
-    advanced, small = bounded_side(advanced)
+    bounds, small = bounded_side(
+        possible.join(fresh.select(*ID), ID, "left_anti")
+        .groupBy(*UNIT, "start")
+        .agg(F.min("entry_id").alias("next_id"))
+    )
     if not small:
-        advanced = durable(advanced)
-    marked = rows.join(F.broadcast(advanced) if small else advanced, UNIT).withColumn(
-        "released", F.col("entry_id") < F.col("next_id")
+        bounds = durable(bounds)
+    marked = (
+        waiting.dropDuplicates(ID)
+        .join(F.broadcast(bounds) if small else bounds, UNIT)
+        .filter(F.col("entry_id") >= F.col("start"))
+        .withColumn("released", F.col("entry_id") < F.col("next_id"))
+        .drop("start", "next_id")
     )
-    return marked.drop("next_id"), advanced
+    return marked, bounds.drop("start")
 
 
 def stream_ordered_commit(

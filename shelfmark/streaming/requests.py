@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shelfmark.operators.ordering import following
 from shelfmark.schema import REQUEST_TTL_SECONDS
 from shelfmark.session import durable, join_side
 from shelfmark.streaming.state import DeltaTable, max_per_key, run_batches, write_batch
 
+# Rounds before long runs of one id are followed by doubling.
+DIRECT_ROUNDS = 3
 SEEN_SCHEMA = T.StructType(
     [T.StructField("request_id", T.StringType()), T.StructField("seen", T.LongType())]
 )
@@ -42,15 +45,67 @@ def _openers(rows: DataFrame, ttl: int) -> DataFrame:
     )
 
 
+def _reached(rows: DataFrame, opened: DataFrame, ttl: int) -> DataFrame:
+    """Everything the openers lead to: each accepted time points to the next one.
+
+    The pointer of a time is the first time more than ``ttl`` after it. Pointers are
+    followed by doubling, so a run of n acceptances takes log2(n) rounds.
+    """
+    points = rows.groupBy("request_id", "_at").agg(F.min("event_id").alias("event_id"))
+    probes = points.select("request_id", (F.col("_at") + ttl).alias("_key"), F.lit(None).cast("long").alias("_hit"))
+    marks = points.select("request_id", F.col("_at").alias("_key"), F.col("_at").alias("_hit"))
+    keys = probes.withColumn("_probe", F.lit(True)).unionByName(marks.withColumn("_probe", F.lit(False)))
+    keys = keys.groupBy("request_id", "_key").agg(F.max("_hit").alias("_hit"), F.bool_or("_probe").alias("_probe"))
+    block = max(ttl // 256, 1)
+    pointed = following(keys, ["request_id"], "_key", F.col("_hit"), "_next", block)
+    jump = durable(
+        pointed.filter(F.col("_probe") & F.col("_next").isNotNull()).select(
+            "request_id", (F.col("_key") - ttl).alias("_at"), "_next"
+        )
+    )
+    reached, size = durable(opened.select("request_id", "_at")), 0
+    while (grown := reached.count()) > size:
+        size = grown
+        ahead = reached.join(jump, ["request_id", "_at"]).select("request_id", F.col("_next").alias("_at"))
+        reached = durable(reached.union(ahead).distinct())
+        further = jump.select("request_id", F.col("_at").alias("_next"), F.col("_next").alias("_then"))
+        jump = durable(
+            jump.join(further, ["request_id", "_next"]).select("request_id", "_at", F.col("_then").alias("_next"))
+        )
+    return points.join(reached, ["request_id", "_at"]).select("request_id", "_at", "event_id")
+
+
+def _uncovered(rows: DataFrame, opened: DataFrame, ttl: int) -> DataFrame:
+    """Rows that no accepted row covers."""
+    covers = opened.select(
+        "request_id",
+        F.col("_at").alias("_from"),
+        F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"),
+    )
+    # A bucket can be reached by an acceptance of its own and one of the bucket before.
+    covers = covers.groupBy("request_id", "_bucket").agg(
+        F.min("_from").alias("_early"), F.max("_from").alias("_late")
+    )
+
+    def covered(start: str) -> Column:
+        return F.coalesce(F.col("_at").between(F.col(start), F.col(start) + ttl), F.lit(False))
+
+    return (
+        join_side(rows, covers, ["request_id", "_bucket"], "left")
+        .filter(~covered("_early") & ~covered("_late"))
+        .drop("_early", "_late")
+    )
+
+
 def accept_requests(
     requests: DataFrame, seen: DataFrame | None = None, ttl_seconds: int = REQUEST_TTL_SECONDS
 ) -> DataFrame:
     """Requests whose id was not accepted within the ``ttl_seconds`` before them.
 
     Columns: request_id, ts, event_id. ``seen`` holds ids accepted earlier with their
-    time in microseconds. Each round accepts every row that no undecided row can
-    block and drops what those rows cover, so there are as many rounds as one id is
-    accepted in a row without a pause: one or two for a micro-batch.
+    time in microseconds. A round accepts every row that no undecided row can block
+    and drops what those rows cover; a micro-batch needs one or two. Ids that are
+    asked for without a pause over a long time are finished by ``_reached``.
     """
     ttl = ttl_seconds * 1_000_000
     at = F.unix_micros("ts")
@@ -59,32 +114,16 @@ def accept_requests(
         fresh = F.col("seen").isNull() | (F.col("_at") - F.col("seen") > ttl)
         rows = join_side(rows, seen, "request_id", "left").filter(fresh).drop("seen")
     undecided = durable(rows)
-    accepted: DataFrame | None = None
-    while not undecided.isEmpty():
+    accepted = undecided.limit(0).select("request_id", "_at", "event_id")
+    for direct in range(DIRECT_ROUNDS + 1):
+        if undecided.isEmpty():
+            break
         opened = durable(_openers(undecided, ttl))
-        accepted = opened if accepted is None else accepted.unionByName(opened)
-        covers = opened.select(
-            "request_id",
-            F.col("_at").alias("_from"),
-            F.explode(F.array(F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"),
-        )
-        # A bucket can be reached by an acceptance of its own and one of the bucket before.
-        covers = covers.groupBy("request_id", "_bucket").agg(
-            F.min("_from").alias("_early"), F.max("_from").alias("_late")
-        )
-
-        def covered(start: str) -> Column:
-            return F.coalesce(
-                F.col("_at").between(F.col(start), F.col(start) + ttl), F.lit(False)
-            )
-
-        undecided = durable(
-            join_side(undecided, covers, ["request_id", "_bucket"], "left")
-            .filter(~covered("_early") & ~covered("_late"))
-            .drop("_early", "_late")
-        )
-    if accepted is None:
-        return undecided.select("request_id", "event_id", F.timestamp_micros("_at").alias("ts"))
+        if direct == DIRECT_ROUNDS:
+            accepted = accepted.unionByName(_reached(undecided, opened, ttl))
+            break
+        accepted = accepted.unionByName(opened.drop("_bucket"))
+        undecided = durable(_uncovered(undecided, opened, ttl))
     return accepted.select("request_id", "event_id", F.timestamp_micros("_at").alias("ts"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.peers import freshest_peers
 from shelfmark.operators.telemetry import lag_of, percentiles_of_counts, shard_overview
 from shelfmark.schema import ROUTING_ENTRIES, TELEMETRY_WINDOW
+from shelfmark.session import durable
 from shelfmark.streaming.state import run_batches, write_batch
 
 DELAY = "5 seconds"
@@ -52,7 +53,8 @@ def _per_closed_windows(
     windows: DataFrame, finish: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
 ) -> StreamingQuery:
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_batch(finish(batch), path, batch_id)
+        # Written first: reading the batch twice would run its stateful part twice.
+        write_batch(finish(durable(batch)), path, batch_id)
 
     return run_batches(windows, each, checkpoint)
 
