@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import embedding_queries, packing_queries
+from shelfmark.llm import chat_queries, embedding_queries, license_queries, packing_queries
 from shelfmark.plans.registry import Query
 
-MODULES = (embedding_queries, packing_queries)
+MODULES = (embedding_queries, chat_queries, packing_queries, license_queries)
 
 
 def llm_queries() -> dict[str, Query]:
