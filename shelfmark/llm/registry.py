@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from shelfmark.llm import chat_queries, embedding_queries, license_queries, packing_queries
+from shelfmark.llm import (
+    chat_queries,
+    contamination_queries,
+    embedding_queries,
+    language_queries,
+    license_queries,
+    packing_queries,
+)
 from shelfmark.plans.registry import Query
 
-MODULES = (embedding_queries, chat_queries, packing_queries, license_queries)
+MODULES = (
+    language_queries,
+    contamination_queries,
+    embedding_queries,
+    chat_queries,
+    packing_queries,
+    license_queries,
+)
 
 
 def llm_queries() -> dict[str, Query]:
