@@ -9,6 +9,7 @@ from shelfmark.llm import (
     language_queries,
     license_queries,
     packing_queries,
+    repeat_queries,
 )
 from shelfmark.plans.registry import Query
 
@@ -18,6 +19,7 @@ MODULES = (
     embedding_queries,
     chat_queries,
     packing_queries,
+    repeat_queries,
     license_queries,
 )
 
