@@ -7,6 +7,7 @@ from shelfmark.llm import (
     contamination_queries,
     embedding_queries,
     language_queries,
+    near_copy_queries,
     license_queries,
     packing_queries,
     repeat_queries,
@@ -15,6 +16,7 @@ from shelfmark.plans.registry import Query
 
 MODULES = (
     language_queries,
+    near_copy_queries,
     contamination_queries,
     embedding_queries,
     chat_queries,
