@@ -10,6 +10,7 @@ from shelfmark.llm import (
     near_copy_queries,
     license_queries,
     packing_queries,
+    personal_data_queries,
     repeat_queries,
 )
 from shelfmark.plans.registry import Query
@@ -21,6 +22,7 @@ MODULES = (
     embedding_queries,
     chat_queries,
     packing_queries,
+    personal_data_queries,
     repeat_queries,
     license_queries,
 )
