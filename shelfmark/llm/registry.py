@@ -11,6 +11,7 @@ from shelfmark.llm import (
     license_queries,
     packing_queries,
     personal_data_queries,
+    quality_queries,
     repeat_queries,
 )
 from shelfmark.plans.registry import Query
@@ -23,6 +24,7 @@ MODULES = (
     chat_queries,
     packing_queries,
     personal_data_queries,
+    quality_queries,
     repeat_queries,
     license_queries,
 )
