@@ -1,15 +1,66 @@
-"""Placeholder of the corpus pipeline; stages follow."""
+"""A corpus pipeline: documents to packed training sequences, in five stages.
+
+Every stage reads all that the one before it kept, and all but the last return the columns of
+``documents``. ``run`` writes the result of each stage to the shared folder and goes on from there.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.llm.contamination import contaminated
+from shelfmark.llm.language import fold_of, keep_identified, train
+from shelfmark.llm.near_copies import keep_one_of_each
+from shelfmark.llm.packing import pack
+from shelfmark.llm.personal_data import sanitise
+from shelfmark.llm.vocabulary import tokenizer_path
+from shelfmark.llm.work import durable
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; texts without a letter, or between languages, go."""
+    model = train(docs.filter(fold_of(F.col("doc_id")) != 1).select("lang", "text"))
+    return keep_identified(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least doc_id."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that disclose it replaced."""
+    return sanitise(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = durable(docs)
     return docs

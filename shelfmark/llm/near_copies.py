@@ -173,3 +173,22 @@ def near_copies(
     return named.select(
         "doc_id", F.when(F.col("n_words") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("class_id")
     )
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that stay when one document of each class does: the one with the least
+    doc_id. Of rows that share that id the least by text stays; rows without an id all stay."""
+    named = near_copies(docs, **options).filter(F.col("doc_id").isNotNull())
+    ids = durable(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"), F.min("class_id").alias("class_id")))
+    stays = F.col("doc_id") == F.col("class_id")
+    repeated = ids.filter(stays & (F.col("copies") > 1)).select("doc_id")
+    other = ids.filter(~stays | (F.col("copies") > 1)).select("doc_id")
+    columns = [c for c in docs.columns if c not in ("text", "doc_id")]
+    least = (
+        docs.join(repeated, "doc_id", "left_semi")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("text", *columns)).alias("row"))
+        .select("doc_id", "row.*")
+        .select(docs.columns)
+    )
+    return docs.join(other, "doc_id", "left_anti").select(docs.columns).unionByName(least)

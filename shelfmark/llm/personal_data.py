@@ -302,12 +302,12 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     told = disclosures(docs, generalise, remove, min_texts)
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("key_of_text", F.md5(F.coalesce("text", F.lit(""))))
     known = key_filter(told.found.select(F.xxhash64("text_key").alias("hash")), "hash")
-    plain = rows_in_filter(keyed, "_key", known, wanted=False).select(docs.columns)
-    marked = rows_in_filter(keyed, "_key", known).join(
-        told.found.select(F.col("text_key").alias("_key"), F.col("found").alias("_found")), "_key", "left"
+    plain = rows_in_filter(keyed, "key_of_text", known, wanted=False).select(docs.columns)
+    marked = rows_in_filter(keyed, "key_of_text", known).join(
+        told.found.select(F.col("text_key").alias("key_of_text"), F.col("found").alias("found_in_text")), "key_of_text", "left"
     )
-    marked = marked.select(*docs.columns, "_found")
+    marked = marked.select(*docs.columns, "found_in_text")
     plain = plain.mapInArrow(_sanitise(text_at, chars_at, None), docs.schema)
     return plain.unionByName(marked.mapInArrow(_sanitise(text_at, chars_at, len(docs.columns)), docs.schema))

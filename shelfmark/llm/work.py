@@ -65,5 +65,5 @@ def _by_filter(found: Broadcast, wanted: bool) -> Callable[[Iterator[pa.RecordBa
 def rows_in_filter(df: DataFrame, column: str, found: Broadcast, wanted: bool = True) -> DataFrame:
     """The rows whose ``column`` may be (or, with ``wanted=False``, surely is not) in a set
     of xxhash64 values. Done before a join, it keeps most other rows out of the shuffle."""
-    hashed = df.withColumn("_hash", F.xxhash64(column))
+    hashed = df.select("*", F.xxhash64(column).alias("key_of_row"))
     return hashed.mapInArrow(_by_filter(found, wanted), df.schema)
