@@ -36,7 +36,7 @@ def usable(ids: pa.Array, vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.n
     for size in np.unique(lengths):
         pick = pa.array(lengths == size)
         flat = vectors.filter(pick).flatten()
-        whole = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, int(size))
+        whole = flat.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(int((lengths == size).sum()), int(size))
         finite = np.isfinite(whole).all(axis=1)
         names = ids.filter(pick).to_numpy(False).astype(np.int64)[finite]
         if len(names):
