@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.work import durable, held, key_filter, rows_in_filter
+from shelfmark.llm.work import durable, free_name, held, key_filter, rows_in_filter
 
 # Kinds of the base spans, in order, then those of the method.
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
@@ -302,12 +302,11 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     told = disclosures(docs, generalise, remove, min_texts)
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    keyed = docs.withColumn("key_of_text", F.md5(F.coalesce("text", F.lit(""))))
+    key, more = free_name(docs, "key_of_text"), free_name(docs, "found_in_text")
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
     known = key_filter(told.found.select(F.xxhash64("text_key").alias("hash")), "hash")
-    plain = rows_in_filter(keyed, "key_of_text", known, wanted=False).select(docs.columns)
-    marked = rows_in_filter(keyed, "key_of_text", known).join(
-        told.found.select(F.col("text_key").alias("key_of_text"), F.col("found").alias("found_in_text")), "key_of_text", "left"
-    )
-    marked = marked.select(*docs.columns, "found_in_text")
+    plain = rows_in_filter(keyed, key, known, wanted=False).select(docs.columns)
+    found = told.found.select(F.col("text_key").alias(key), F.col("found").alias(more))
+    marked = rows_in_filter(keyed, key, known).join(found, key, "left").select(*docs.columns, more)
     plain = plain.mapInArrow(_sanitise(text_at, chars_at, None), docs.schema)
     return plain.unionByName(marked.mapInArrow(_sanitise(text_at, chars_at, len(docs.columns)), docs.schema))

@@ -162,7 +162,8 @@ def features(words: Words) -> np.ndarray:
     length = np.minimum(words.end - words.start, 15)
     repeats = np.minimum(np.log2(1 + occurrences(mix(words.hashes ^ mix(words.doc.astype(U64))))).astype(np.int64), 7)
     whole = ((((shape << 3 | last) << 4 | length) << 3 | repeats) << 1 | _again(words)).astype(U64)
-    following = np.r_[whole[1:], whole[:1]]
+    following = np.zeros_like(whole)
+    following[:-1] = np.where(words.doc[1:] == words.doc[:-1], whole[1:], U64(0))
     pair = mix(mix(whole) * U64(31) + mix(following))
     top = U64(64 - SHAPE_BITS)
     return np.stack(
@@ -223,7 +224,7 @@ def estimate(codes: np.ndarray, n: np.ndarray, rounds: int = 100) -> LabelModel:
                 for i in range(len(LABELLERS))
             ]
         )
-        chances /= chances[:, :, :NONE].sum(axis=2, keepdims=True)
+        chances = chances / chances[:, :, :NONE].sum(axis=2, keepdims=True)
         chances[:, :, NONE] = 1
         model = LabelModel((whole[GOOD] + 1) / (whole.sum() + 2), chances)
         new = model.posterior(codes)

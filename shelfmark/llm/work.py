@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import durable, work_dir
 
-__all__ = ["FILTER_BITS", "bits_of", "durable", "held", "key_filter", "rows_in_filter", "work_dir"]
+__all__ = ["FILTER_BITS", "bits_of", "durable", "free_name", "held", "key_filter", "rows_in_filter", "work_dir"]
 
 #: A filter is 8 MB, whatever the number of its keys. With more keys it lets more rows through
 #: that are not meant; it never keeps back one that is.
@@ -51,6 +51,14 @@ def held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or one like it that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _by_filter(found: Broadcast, wanted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,5 +73,5 @@ def _by_filter(found: Broadcast, wanted: bool) -> Callable[[Iterator[pa.RecordBa
 def rows_in_filter(df: DataFrame, column: str, found: Broadcast, wanted: bool = True) -> DataFrame:
     """The rows whose ``column`` may be (or, with ``wanted=False``, surely is not) in a set
     of xxhash64 values. Done before a join, it keeps most other rows out of the shuffle."""
-    hashed = df.select("*", F.xxhash64(column).alias("key_of_row"))
+    hashed = df.withColumn(free_name(df, "key_of_row"), F.xxhash64(column))
     return hashed.mapInArrow(_by_filter(found, wanted), df.schema)
