@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -68,12 +70,14 @@ def timed(run: Callable[[SparkSession, str], DataFrame], spark: SparkSession, sf
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "shelfmark-bench", "16g")
+    folder = tempfile.mkdtemp(prefix="shelfmark-bench-")
+    spark = local_session(folder, os.environ.get("BENCH_CPUS", "8"), "shelfmark-bench", "16g")
     registered = all_queries()
     runs = {name: registered[name].run for name in HEADLINE}
     runs["search_batch_100"] = search_batch_100
     seconds = {name: timed(run, spark, sf_dir) for name, run in runs.items()}
     spark.stop()
+    shutil.rmtree(folder, ignore_errors=True)
     result = {
         "metric": "headline_total",
         "value": round(sum(seconds.values()), 3),

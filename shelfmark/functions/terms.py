@@ -37,13 +37,27 @@ def is_word(token: str) -> bool:
     return token != "" and all(category(c)[0] in "LN" for c in token)
 
 
+def is_wildcard(token: str) -> bool:
+    """True for tokens of letters, digits and at least one ``*`` (any run) or ``?`` (any one)."""
+    rest = token.replace("*", "").replace("?", "")
+    return rest != token and (rest == "" or is_word(rest))
+
+
+def wildcard_regex(token: Column) -> Column:
+    """The expression that a term must hold for a token of letters, digits, ``*`` and ``?``."""
+    return F.replace(F.replace(token, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit("."))
+
+
 def any_term_contains(text: Column, token: str) -> Column:
-    """True when one indexed term contains ``token``.
+    """True when one indexed term contains ``token``, in which ``*`` and ``?`` are wildcards.
 
     A token with other characters never matches. A token that no stop word contains
     matches exactly when the lower-cased text contains it, so the text is not
     split; otherwise the same test goes first and spares most rows the split.
     """
+    if is_wildcard(token):
+        wanted = wildcard_regex(F.lit(token))
+        return F.coalesce(F.exists(terms(text), lambda t: F.rlike(t, wanted)), F.lit(False))
     if not is_word(token):
         return F.lit(False)
     plain = F.lower(text).contains(token)

@@ -6,8 +6,8 @@ one task. The three functions here give the same answers for shards of any size:
 * ``positions`` spreads rows by range over the full sort key, numbers them locally
   and adds the size of the earlier pieces;
 * ``select_rank`` finds the id at a rank from counts, narrowing block by block;
-* ``following`` looks ahead inside blocks of consecutive keys and falls back to the
-  first value of a later block.
+* ``following`` looks ahead inside pieces of the spread rows and falls back to the first
+  value of a later piece.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import durable, join_side
+from shelfmark.session import durable
 
 BLOCK = 4096
 # monotonically_increasing_id keeps the partition number above this bit.
@@ -49,7 +49,7 @@ def positions(
         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     return (
-        join_side(spread, offsets, [*groups, "_piece"])
+        spread.join(offsets, [*groups, "_piece"])
         .withColumn(name, F.col("_row") + F.col("_shift"))
         .drop("_row", "_piece", "_shift")
     )
@@ -105,6 +105,10 @@ def select_rank(df: DataFrame, groups: Sequence[str], target: Column) -> DataFra
     Counts per unit and block of entry ids are combined before the shuffle; only
     the ids of one block per group are looked at one by one.
     """
+    if not groups:
+        # One group: its key comes from the rows, so that joins on it stay joins on a key.
+        whole = select_rank(df.withColumn("_all", F.pmod("epoch_id", F.lit(1))), ["_all"], target)
+        return whole.drop("_all")
     ids = df.select(*groups, "epoch_id", "leader_id", "entry_id", _block("entry_id").alias("_nb"))
     coarse = ids.groupBy(*groups, "epoch_id", "leader_id", "_nb").agg(
         F.count(F.lit(1)).alias("n")
@@ -114,7 +118,7 @@ def select_rank(df: DataFrame, groups: Sequence[str], target: Column) -> DataFra
     carried = [*unit_keys, "total"]
     block = narrow(coarse.join(unit, unit_keys), carried, ["_nb"])
     in_block = (
-        join_side(ids, block, [*unit_keys, "_nb"])
+        ids.join(block, [*unit_keys, "_nb"])
         .groupBy(*carried, "entry_id", "target")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -122,38 +126,39 @@ def select_rank(df: DataFrame, groups: Sequence[str], target: Column) -> DataFra
 
 
 def following(
-    df: DataFrame,
-    groups: Sequence[str],
-    key: str,
-    value: Column,
-    name: str,
-    block: int = 65_536,
+    df: DataFrame, groups: Sequence[str], key: str, value: Column, name: str
 ) -> DataFrame:
     """Add the first non-null ``value`` among later rows (by integer ``key``) of the group.
 
-    Keys must be unique within a group.
+    Keys must be unique within a group. Rows are spread by range over groups and key; a
+    row looks ahead inside its piece, and beyond it at the first values of later pieces, of
+    which a group has no more than there are partitions.
     """
-    cut = df.withColumn("_block", F.floor(F.col(key) / F.lit(block))).withColumn("_value", value)
+    spread = durable(
+        df.withColumn("_value", value)
+        .repartitionByRange(*groups, key)
+        .withColumn("_piece", F.spark_partition_id())
+    )
     # Backwards, so that the frame grows with the rows instead of being scanned anew for each.
     ahead = (
-        Window.partitionBy(*groups, "_block")
+        Window.partitionBy(*groups, "_piece")
         .orderBy(F.desc(key))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    inside = cut.withColumn("_inside", F.last("_value", ignorenulls=True).over(ahead))
-    heads = cut.groupBy(*groups, "_block").agg(
+    inside = spread.withColumn("_inside", F.last("_value", ignorenulls=True).over(ahead))
+    heads = spread.groupBy(*groups, "_piece").agg(
         F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col(key))).alias("_head")
     )
     later = (
         Window.partitionBy(*groups)
-        .orderBy(F.desc("_block"))
+        .orderBy(F.desc("_piece"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     beyond = heads.select(
-        *groups, "_block", F.last("_head", ignorenulls=True).over(later).alias("_beyond")
+        *groups, "_piece", F.last("_head", ignorenulls=True).over(later).alias("_beyond")
     )
     return (
-        inside.join(beyond, [*groups, "_block"])
+        inside.join(beyond, [*groups, "_piece"])
         .withColumn(name, F.coalesce("_inside", "_beyond"))
-        .drop("_block", "_value", "_inside", "_beyond")
+        .drop("_piece", "_value", "_inside", "_beyond")
     )

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.ids import id_literal, id_struct
 from shelfmark.functions.terms import any_term_contains, has_term
-from shelfmark.schema import ID, PULL_BATCH, UNIT, Pattern
+from shelfmark.schema import ID, PULL_BATCH, UNIT, Pattern, split_tokens
 
 EPOCH_START = datetime(1970, 1, 1)
 MAX_LONG = 2**63 - 1
 MIN_LONG = -(2**63)
+# The circular id space leaves out the two outermost longs.
+LAST_ID = MAX_LONG - 1
+FIRST_ID = MIN_LONG + 1
 
 
 def any_of(predicates: list[Column]) -> Column:
@@ -29,8 +32,9 @@ def all_of(predicates: list[Column]) -> Column:
 
 
 def p_file_name(pattern: str) -> Column:
-    """Any whitespace token of ``pattern`` occurs inside an indexed term of the file name."""
-    return any_of([any_term_contains(F.col("file_name"), t.lower()) for t in pattern.split()])
+    """Any token of ``pattern`` occurs inside an indexed term of the file name."""
+    tokens = split_tokens(pattern, fold_case=True)
+    return any_of([any_term_contains(F.col("file_name"), t) for t in tokens])
 
 
 def p_size(min_size: int, max_size: int) -> Column | None:
@@ -69,7 +73,7 @@ def p_description(pattern: str, fold_case: bool = False) -> Column:
     Terms are lower-cased and tokens are not, so capitalised tokens never match
     unless ``fold_case`` is set.
     """
-    tokens = (pattern.lower() if fold_case else pattern).split()
+    tokens = split_tokens(pattern, fold_case)
     return any_of([has_term(F.col("description"), t) for t in tokens])
 
 
@@ -176,7 +180,7 @@ def delete_low_wrap(df: DataFrame, bound: int, bottom: int, top: int, key: str =
     if bottom < top or bound >= bottom:
         doomed = ids.between(bottom, bound)
     else:
-        doomed = ids.between(bottom, MAX_LONG - 1) | ids.between(MIN_LONG + 1, bound)
+        doomed = ids.between(bottom, LAST_ID) | ids.between(FIRST_ID, bound)
     return _survivors(df, doomed)
 
 
@@ -186,7 +190,7 @@ def delete_high_wrap(df: DataFrame, bound: int, bottom: int, top: int, key: str
     if bottom < top or bound < top:
         doomed = ids.between(bound + 1, top)
     else:
-        doomed = ids.between(bound + 1, MAX_LONG - 1) | ids.between(MIN_LONG + 1, top)
+        doomed = ids.between(bound + 1, LAST_ID) | ids.between(FIRST_ID, top)
     return _survivors(df, doomed)
 
 

@@ -16,20 +16,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.ids import round9
 from shelfmark.functions.terms import any_term_contains, has_term, term_count, terms
 from shelfmark.operators.predicates import match
-from shelfmark.schema import (
-    HIT_LIST_SECONDS,
-    HITS_PER_SHARD,
-    ID,
-    MERGED_HIT_CAP,
-    PAGE_SIZE,
-    SHARD,
-    UNION_RESULT_CAP,
-    Pattern,
-)
-from shelfmark.session import bounded_side, join_side
-
-# Longest list of epochs that is pushed into a scan.
-LISTED_EPOCHS = 1000
+from shelfmark.schema import HIT_LIST_SECONDS, ID, PAGE_SIZE, SHARD, Pattern
 
 
 # -- score ----------------------------------------------------------------------------
@@ -82,17 +69,13 @@ def score(entries: DataFrame, pattern: Pattern, fold_case: bool = False) -> Data
 # -- query phase ----------------------------------------------------------------------
 
 
-def shard_topk(
-    hits: DataFrame, k: int = HITS_PER_SHARD, by: Sequence[str] = tuple(SHARD)
-) -> DataFrame:
+def shard_topk(hits: DataFrame, k: int, by: Sequence[str] = tuple(SHARD)) -> DataFrame:
     """The best ``k`` hits of each shard. The limit is applied before and after the shuffle."""
     best = Window.partitionBy(*by).orderBy(F.desc("score"), *ID)
     return hits.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
 
 
-def shard_topk_entries(
-    entries: DataFrame, pattern: Pattern, k: int = HITS_PER_SHARD
-) -> DataFrame:
+def shard_topk_entries(entries: DataFrame, pattern: Pattern, k: int) -> DataFrame:
     """The same as whole entries. Rows are read after the limit, not carried through it."""
     return fetch_entries(entries, shard_topk(score(entries, pattern), k))
 
@@ -106,14 +89,24 @@ def first_reply(
     round_col: str = "round_id",
     shard_col: str = "shard_id",
     ts_col: str = "ts",
+    expected: DataFrame | None = None,
 ) -> DataFrame:
     """The first reply of every shard in a round.
 
     A minimum combines before the shuffle, so many replies of one round cost little.
+    With ``expected`` (round_id, expected) a round takes the earliest replies of as many
+    shards as were asked, and none if it asked nobody.
     """
     rest = [c for c in replies.columns if c not in (round_col, shard_col, ts_col)]
     firsts = replies.groupBy(round_col, shard_col).agg(F.min(F.struct(ts_col, *rest)).alias("_f"))
-    return firsts.select(round_col, shard_col, "_f.*")
+    firsts = firsts.select(round_col, shard_col, "_f.*")
+    if expected is None:
+        return firsts
+    # One row per shard of a round is left, so this order is over shards, not replies.
+    order = Window.partitionBy(round_col).orderBy(ts_col, shard_col)
+    ranked = firsts.withColumn("_r", F.row_number().over(order))
+    asked = expected.select(F.col("round_id").alias(round_col), F.col("expected").alias("_asked"))
+    return ranked.join(asked, round_col).filter(F.col("_r") <= F.col("_asked")).drop("_r", "_asked")
 
 
 def round_complete(replies: DataFrame, expected: DataFrame) -> DataFrame:
@@ -136,12 +129,13 @@ def hit_order(best_first: bool = False) -> list[Column]:
     return [F.desc("score") if best_first else F.asc("score"), *(F.asc(c) for c in ID)]
 
 
-def merge_hits(hits: DataFrame, cap: int = MERGED_HIT_CAP, best_first: bool = False) -> DataFrame:
-    """All shards in one order, at most ``cap``.
+def merge_hits(hits: DataFrame, cap: int | None = None, best_first: bool = False) -> DataFrame:
+    """All shards in one order; with ``cap`` the first so many.
 
     The order is weakest first, as in the service this serves; ``best_first`` turns it round.
     """
-    return hits.orderBy(*hit_order(best_first)).limit(cap)
+    ordered = hits.orderBy(*hit_order(best_first))
+    return ordered if cap is None else ordered.limit(cap)
 
 
 def num_hits(merged: DataFrame) -> DataFrame:
@@ -159,34 +153,22 @@ def page(
 
 def retain(hits: DataFrame, page_hits: DataFrame) -> DataFrame:
     """Per shard the hits that are on the page: same id and same score."""
-    return join_side(hits, page_hits.select(*ID, "score"), [*ID, "score"], "left_semi")
+    return hits.join(page_hits.select(*ID, "score"), [*ID, "score"], "left_semi")
 
 
 # -- fetch phase ----------------------------------------------------------------------
 
 
-def rows_of(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    """Join a list of ids to the entries.
+def fetch_entries(entries: DataFrame, page_hits: DataFrame) -> DataFrame:
+    """Whole rows of a page with their scores; ids that are not stored drop out.
 
-    The epochs of a short list go into the scan as a filter, so files and row groups
-    of other epochs are not read.
+    A page has a limit, so the planner knows that it is small.
     """
-    side, small = bounded_side(keys)
-    if not small:
-        return entries.join(side, ID)
-    epochs = sorted(r[0] for r in side.select("epoch_id").distinct().collect())
-    if len(epochs) <= LISTED_EPOCHS:
-        entries = entries.filter(F.col("epoch_id").isin(epochs) if epochs else F.lit(False))
-    return entries.join(F.broadcast(side), ID)
-
-
-def fetch_entries(entries: DataFrame, page_hits: DataFrame) -> DataFrame:
-    """Whole rows of a page with their scores; ids that are not stored drop out."""
-    return rows_of(entries, page_hits.select(*ID, "score"))
+    return entries.join(page_hits.select(*ID, "score"), ID)
 
 
 def fetch_ids(entries: DataFrame, ids: DataFrame) -> DataFrame:
-    return rows_of(entries, ids.select(*ID).distinct())
+    return entries.join(ids.select(*ID).distinct(), ID)
 
 
 def final_order(fetched: DataFrame, best_first: bool = False) -> DataFrame:
@@ -199,12 +181,14 @@ def final_order(fetched: DataFrame, best_first: bool = False) -> DataFrame:
 def merged_hits(
     entries: DataFrame,
     pattern: Pattern,
-    k: int = HITS_PER_SHARD,
-    cap: int = MERGED_HIT_CAP,
+    k: int | None = None,
+    cap: int | None = None,
     best_first: bool = False,
     fold_case: bool = False,
 ) -> DataFrame:
-    return merge_hits(shard_topk(score(entries, pattern, fold_case), k), cap, best_first)
+    """All hits in order; ``k`` keeps the best of each shard only, ``cap`` the first of all."""
+    hits = score(entries, pattern, fold_case)
+    return merge_hits(hits if k is None else shard_topk(hits, k), cap, best_first)
 
 
 def search(
@@ -212,12 +196,12 @@ def search(
     pattern: Pattern,
     from_: int = 0,
     size: int = PAGE_SIZE,
-    k: int = HITS_PER_SHARD,
+    k: int | None = None,
     best_first: bool = False,
     fold_case: bool = False,
     mode: str = "topk",
 ) -> DataFrame:
-    """One page of results as whole entries.
+    """One page of results as whole entries, out of all hits (``k``: the best of each shard).
 
     ``mode='count'`` collects only the number of matches and reads no rows.
     """
@@ -228,18 +212,16 @@ def search(
 
 
 def search_union(
-    entries: DataFrame,
-    pattern: Pattern,
-    cap: int = UNION_RESULT_CAP,
-    k: int = HITS_PER_SHARD,
+    entries: DataFrame, pattern: Pattern, k: int | None = None, cap: int | None = None
 ) -> DataFrame:
     """The older path: union the results of all shards and search that union again.
 
-    Statistics for the second score are those of the union, and the best come first.
+    Statistics for the second score are those of the union, and the best come first. ``k``
+    limits the results of a shard, ``cap`` the answer.
     """
-    union = shard_topk_entries(entries, pattern, k).drop("score").dropDuplicates(ID)
-    again = score(union, pattern)
-    return again.orderBy(*hit_order(best_first=True)).limit(cap)
+    found = match(entries, pattern) if k is None else shard_topk_entries(entries, pattern, k).drop("score")
+    again = score(found.dropDuplicates(ID), pattern)
+    return merge_hits(again, cap, best_first=True)
 
 
 # -- hit lists kept for later pages -------------------------------------------------------
@@ -268,6 +250,34 @@ def cached_hits(spark: SparkSession, pattern: Pattern, now: datetime, path: str)
         (F.col("cached_at") > F.lit(now - timedelta(seconds=HIT_LIST_SECONDS)))
         & (F.col("cached_at") <= F.lit(now))
     )
-    newest = young.agg(F.max("cached_at")).scalar()
-    return young.filter(F.col("cached_at") == newest).drop("pattern_key", "cached_at")
+    newest = young.agg(F.max("cached_at").alias("cached_at"))
+    return young.join(newest, "cached_at", "left_semi").drop("pattern_key", "cached_at")
+
 
+def search_cached(
+    entries: DataFrame,
+    pattern: Pattern,
+    now: datetime,
+    path: str,
+    from_: int = 0,
+    size: int = PAGE_SIZE,
+    best_first: bool = False,
+) -> DataFrame:
+    """A page out of the hit list of an equal pattern, if one is young enough, else out of a
+    new search, whose hit list is kept for later pages.
+
+    A list is kept even if it has no hits: its folder then holds no rows, and the search is
+    made again.
+    """
+    spark = entries.sparkSession
+    young = stored(spark, path) and not cached_hits(spark, pattern, now, path).isEmpty()
+    if not young:
+        store_hits(merged_hits(entries, pattern, best_first=best_first), pattern, now, path)
+    hits = cached_hits(spark, pattern, now, path)
+    return final_order(fetch_entries(entries, page(hits, from_, size, best_first)), best_first)
+
+
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, wherever Spark's paths lead."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -11,7 +11,7 @@ from shelfmark.functions.ids import id_literal, id_struct, unit_literal
 from shelfmark.operators.ordering import select_rank, select_unit_rank
 from shelfmark.operators.units import units_after
 from shelfmark.schema import MAX_DEPTH, SPLIT_THRESHOLD, UNIT
-from shelfmark.session import bounded_side, durable, join_side
+from shelfmark.session import durable
 
 Id = tuple[int, int, int]
 
@@ -84,7 +84,7 @@ def shard_split(df: DataFrame, threshold: int = SPLIT_THRESHOLD) -> DataFrame:
     """
     shard = ["category", "partition_id", "depth"]
     medians = shard_medians(df, shard).filter(F.col("shard_rows") >= threshold)
-    marked = join_side(df, medians, shard, "left")
+    marked = df.join(medians, shard, "left")
     moved = _move(marked, F.col("median_epoch").isNotNull())
     return moved.drop("median_epoch", "median_leader", "median_entry", "shard_rows")
 
@@ -117,7 +117,7 @@ def shard_until_fits(
         ).select(*shard, "_first")
         wanted = units.join(due.select(*shard), shard, "left_semi")
         picked = select_unit_rank(wanted, shard, F.floor(F.col("total") / 2), "num_entries")
-        medians, small = bounded_side(
+        medians = durable(
             picked.join(due, shard).select(
                 *shard,
                 F.col("epoch_id").alias("median_epoch"),
@@ -125,9 +125,9 @@ def shard_until_fits(
                 (F.struct("epoch_id", "leader_id") == F.col("_first")).alias("_unsplittable"),
             )
         )
-        if small and medians.isEmpty():
+        if medians.isEmpty():
             break
-        marked = units.join(F.broadcast(medians) if small else medians, shard, "left")
+        marked = units.join(medians, shard, "left")
         unsplittable = F.coalesce("_unsplittable", F.lit(False))
         moved = _move(marked, F.col("median_epoch").isNotNull() & ~unsplittable)
         units = durable(

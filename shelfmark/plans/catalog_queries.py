@@ -24,7 +24,7 @@ from shelfmark.operators.replicas import digest_audit
 from shelfmark.plans import fixtures as fx
 from shelfmark.plans.registry import Query
 from shelfmark.schema import ID, Pattern
-from shelfmark.session import work_dir
+from shelfmark.session import durable, work_dir
 from shelfmark.sources import catalog, imports
 
 Spark = SparkSession
@@ -99,16 +99,23 @@ def entries_append(spark: Spark, d: str) -> DataFrame:
 
 
 def entries_delete_where(spark: Spark, d: str) -> DataFrame:
-    path, target = _stored(spark, d), work_dir(spark, "store")
-    gone = (F.col("category") == "Music", F.col("file_size") < 300, F.col("entry_id") == 0)
-    catalog.rewrite_without(spark, path, target, *gone)
-    return _stored_columns(catalog.read_entries(spark, target))
+    path = _stored(spark, d)
+    gone = (
+        F.col("category") == "Music",
+        (F.col("category") != "Books") & (F.col("file_size") < 300),
+        (F.col("category") == "Video") & (F.col("entry_id") == 0),
+    )
+    catalog.delete_entries(spark, path, *gone)
+    return _stored_columns(catalog.read_entries(spark, path))
 
 
 def entries_truncate(spark: Spark, d: str) -> DataFrame:
+    """Entries per category before, and entries after."""
     path = _stored(spark, d)
+    before = durable(catalog.read_entries(spark, path).groupBy("category").agg(F.count(F.lit(1)).alias("before")))
     catalog.truncate(spark, path)
-    return catalog.read_entries(spark, path).agg(F.count(F.lit(1)).alias("n"))
+    after = catalog.read_entries(spark, path).agg(F.count(F.lit(1))).scalar()
+    return before.withColumn("after", after)
 
 
 def torrent_xml_ingest(spark: Spark, d: str) -> DataFrame:
@@ -286,11 +293,13 @@ coalesce(uploaded, TIMESTAMP '2024-06-01 00:00:00') AS uploaded, coalesce(leader
         entries_delete_where,
         fx.sql(
             "entries",
-            f"SELECT {STORED_SQL} FROM entries WHERE NOT (category = 'Music' OR file_size < 300 OR entry_id = 0)",
+            f"""SELECT {STORED_SQL} FROM entries WHERE NOT (category = 'Music' OR category <> 'Books' AND file_size < 300
+OR category = 'Video' AND entry_id = 0)""",
         ),
     ),
     "entries_truncate": Query(
-        entries_truncate, fx.sql("entries", "SELECT count(*) AS n FROM entries WHERE false")
+        entries_truncate,
+        fx.sql("entries", "SELECT category, count(*) AS before, CAST(0 AS BIGINT) AS after FROM entries GROUP BY category"),
     ),
     "torrent_xml_ingest": Query(
         torrent_xml_ingest,
@@ -315,6 +324,10 @@ md5(array_to_string({terms_sql('description')}, ' ')) AS description_terms FROM
     "filter_filename_any": _part_filter(
         lambda df: df.filter(p.p_file_name("Wid  ri")), any_contains_sql("file_name", ["wid", "ri"])
     ),
+    "filter_filename_wildcard": _entry_filter(
+        lambda df: df.filter(p.p_file_name("i?gs th*on?r o-n")),
+        f"len(list_filter({terms_sql('file_name')}, lambda t: regexp_matches(t, 'i.gs') OR regexp_matches(t, 'th.*on.r'))) > 0",
+    ),
     "filter_size_range": Query(
         lambda spark, d: (
             fx.part_entries(spark, d)
@@ -365,11 +378,11 @@ UNION ALL SELECT *, 'open' AS rule FROM part_entries WHERE file_size >= 40""",
         lambda df: p.find_entry(df, (1, 101, 7)), "epoch_id = 1 AND leader_id = 101 AND entry_id = 7 LIMIT 1"
     ),
     "unit_suffix": Query(
-        lambda spark, d: p.unit_suffix(fx.entries(spark, d), (1, 100, 20), 25).select("epoch_id", "leader_id"),
-        # Any 25 rows will do, so only what they share is compared.
+        # Any rows up to the limit will do, so more are asked for than there are.
+        lambda spark, d: p.unit_suffix(fx.entries(spark, d), (1, 100, 20), 100).select(*ID, "hash"),
         fx.sql(
             "entries",
-            "SELECT epoch_id, leader_id FROM entries WHERE epoch_id = 1 AND leader_id = 100 AND entry_id >= 20 LIMIT 25",
+            "SELECT epoch_id, leader_id, entry_id, hash FROM entries WHERE epoch_id = 1 AND leader_id = 100 AND entry_id >= 20",
         ),
     ),
     "unit_suffix_sorted": _entry_filter(

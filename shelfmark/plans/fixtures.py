@@ -26,7 +26,7 @@ def entries_from(documents: DataFrame) -> DataFrame:
         (doc % 50).alias("entry_id"),
         F.concat(F.lit("g"), doc.cast("string")).alias("global_id"),
         F.concat(F.lit("doc://"), "source", F.lit("/"), doc.cast("string")).alias("url"),
-        F.substring("text", 1, 60).alias("file_name"),
+        F.col("text").alias("file_name"),
         F.col("n_chars").alias("file_size"),
         F.expr("TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' MINUTE").alias("uploaded"),
         F.col("lang").alias("language"),
@@ -199,7 +199,7 @@ ENTRIES_SQL = """entries AS (
 SELECT doc_id, CAST(floor(doc_id/100.0) AS BIGINT) AS epoch_id,
 CAST(100 + CAST(floor(doc_id/50.0) AS BIGINT) % 2 AS INT) AS leader_id,
 doc_id % 50 AS entry_id, concat('g', CAST(doc_id AS VARCHAR)) AS global_id,
-concat('doc://', source, '/', CAST(doc_id AS VARCHAR)) AS url, substring(text, 1, 60) AS file_name,
+concat('doc://', source, '/', CAST(doc_id AS VARCHAR)) AS url, text AS file_name,
 n_chars AS file_size, TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL '1' MINUTE AS uploaded,
 lang AS language,
 CASE doc_id % 4 WHEN 0 THEN 'Video' WHEN 1 THEN 'Music' WHEN 2 THEN 'Books' ELSE 'Default' END AS category,

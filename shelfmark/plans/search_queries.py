@@ -79,7 +79,7 @@ def hits_sql(pattern: Pattern) -> str:
 
 TOPK = f"""topk AS (SELECT {HIT} FROM (SELECT *, row_number() OVER (PARTITION BY category, shard_id
 ORDER BY score DESC, {IDS}) AS rn FROM hits) WHERE rn <= 25)"""
-MERGED = f"merged AS (SELECT * FROM topk ORDER BY score, {IDS} LIMIT 1000)"
+MERGED = f"merged AS (SELECT {HIT} FROM hits)"
 
 
 def page_sql(start: int, size: int) -> str:
@@ -95,15 +95,88 @@ def _hits(spark: Spark, d: str, pattern: Pattern = FLAGSHIP) -> DataFrame:
 
 
 def _merged(spark: Spark, d: str, pattern: Pattern = FLAGSHIP) -> DataFrame:
-    return search.merge_hits(search.shard_topk(_hits(spark, d, pattern)))
+    return search.merge_hits(_hits(spark, d, pattern))
+
+
+# One stored index per session and folder of tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: Spark, d: str) -> postings.Index:
+    """The index of the catalog, written when it is first asked for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = work_dir(spark, "index")
+        postings.write_index(fx.entries(spark, d), path, carry=batch_search.ATTRIBUTES)
+        _STORED[key] = path
+    return postings.read_index(spark, _STORED[key])
 
 
 def search_page(spark: Spark, d: str) -> DataFrame:
-    """The flagship: one page of a search with every kind of clause."""
-    found = search.search(fx.entries(spark, d), FLAGSHIP, 10, 15)
+    """The flagship: one page of a search with every kind of clause, from the stored index.
+
+    Texts are read for the rows of the page only.
+    """
+    found = batch_search.search_indexed(
+        fx.entries(spark, d), stored_index(spark, d), FLAGSHIP, 10, 15
+    )
+    return found.select(*ROW_COLUMNS)
+
+
+def _search_page_scan(spark: Spark, d: str) -> DataFrame:
+    """The same without an index."""
+    return search.search(fx.entries(spark, d), FLAGSHIP, 10, 15).select(*ROW_COLUMNS)
+
+
+def _search_page_cached(spark: Spark, d: str) -> DataFrame:
+    """Two pages: the first makes the hit list, the second is read from it."""
+    path, now = work_dir(spark, "hits"), datetime(2024, 1, 1, 12)
+    rows = fx.entries(spark, d)
+    search.search_cached(rows, TOKENS_ONLY, now, path, 0, 10)
+    # A changed catalog does not change a list that is young enough.
+    fewer = rows.filter("doc_id % 2 = 0")
+    found = search.search_cached(fewer, TOKENS_ONLY, now + timedelta(seconds=20), path, 10, 30)
     return found.select(*ROW_COLUMNS)
 
 
+def _maintained(spark: Spark, d: str) -> tuple[str, DataFrame]:
+    """An index written for some entries, to which the others are added."""
+    path, rows = work_dir(spark, "index"), fx.entries(spark, d)
+    old = F.col("epoch_id") % 3 != 1
+    postings.write_index(rows.filter(old), path, carry=batch_search.ATTRIBUTES)
+    postings.append_index(rows.filter(~old), path, carry=batch_search.ATTRIBUTES)
+    return path, rows
+
+
+def _index_append(spark: Spark, d: str) -> DataFrame:
+    path, _ = _maintained(spark, d)
+    index = postings.read_index(spark, path)
+    return index.vocabulary.select("field", "term", "df", F.lit(index.documents).cast("long").alias("documents"))
+
+
+def _index_delete(spark: Spark, d: str) -> DataFrame:
+    """Entries are taken out, and some of them added again."""
+    path, rows = _maintained(spark, d)
+    postings.delete_index(rows.filter("doc_id % 5 = 0"), path)
+    postings.append_index(rows.filter("doc_id % 10 = 0"), path, carry=batch_search.ATTRIBUTES)
+    index = postings.read_index(spark, path)
+    counted = index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("postings"))
+    return index.vocabulary.join(counted, ["field", "term"]).select(
+        "field", "term", "df", "postings", F.lit(index.documents).cast("long").alias("documents")
+    )
+
+
+def _index_sql(where: str, columns: str) -> str:
+    return fx.sql(
+        "entries",
+        f"""SELECT field, term, count(*) AS df, {columns} FROM (
+SELECT 'file_name' AS field, unnest(list_distinct(ft)) AS term FROM analysed WHERE {where}
+UNION ALL SELECT 'description' AS field, unnest(list_distinct(dt)) AS term FROM analysed WHERE {where})
+GROUP BY field, term""",
+        ANALYSED,
+    )
+
+
 def _tokens(spark: Spark, d: str) -> DataFrame:
     words = fx.table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
     lengths = F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("n")
@@ -142,8 +215,8 @@ def _pattern_entries_join(spark: Spark, d: str) -> DataFrame:
 BATCH_CTES = [
     ANALYSED,
     fx.patterns_sql(),
-    r"""prepared AS (SELECT *, list_filter(string_split_regex(lower(file_name), '\s+'), lambda x: x <> '') AS toks,
-list_filter(string_split_regex(description, '\s+'), lambda x: x <> '') AS words FROM patterns)""",
+    r"""prepared AS (SELECT *, list_filter(string_split_regex(lower(file_name), '[ \t\n\r\f]+'), lambda x: x <> '') AS toks,
+list_filter(string_split_regex(description, '[ \t\n\r\f]+'), lambda x: x <> '') AS words FROM patterns)""",
     "asked AS (SELECT pattern_id, unnest(words) AS w FROM prepared)",
     """dfs AS (SELECT w, count(*) AS df FROM (SELECT DISTINCT w FROM asked) q
 JOIN analysed ON list_contains(dt, w) GROUP BY w)""",
@@ -169,10 +242,9 @@ BATCH_SQL = fx.sql(
     "entries",
     f"""SELECT pattern_id, rank, score, e.epoch_id, e.leader_id, e.entry_id, url, e.file_name, file_size, uploaded,
 e.language, e.category FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY score, {IDS}) AS rank
-FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id, category, shard_id ORDER BY score DESC, {IDS}) AS rn FROM hits)
-WHERE rn <= 25) r JOIN patterns p USING (pattern_id)
+FROM hits) r JOIN patterns p USING (pattern_id)
 JOIN entries e ON e.epoch_id = r.epoch_id AND e.leader_id = r.leader_id AND e.entry_id = r.entry_id
-WHERE rank <= 1000 AND rank > page_from AND rank <= page_from + CASE WHEN page_size <= 0 THEN 10 ELSE page_size END""",
+WHERE rank > page_from AND rank <= page_from + CASE WHEN page_size <= 0 THEN 10 ELSE page_size END""",
     *BATCH_CTES,
 )
 
@@ -235,7 +307,7 @@ GROUP BY field, term""",
         lambda spark, d: _hits(spark, d, DESCRIBED), _search_sql(DESCRIBED, f"SELECT {HIT} FROM hits")
     ),
     "shard_topk": Query(
-        lambda spark, d: search.shard_topk(_hits(spark, d, TOKENS_ONLY)),
+        lambda spark, d: search.shard_topk(_hits(spark, d, TOKENS_ONLY), 25),
         _search_sql(TOKENS_ONLY, f"SELECT {HIT} FROM topk"),
     ),
     "shard_topk_entries": Query(
@@ -292,7 +364,7 @@ FROM replies GROUP BY round_id""",
     ),
     "retain_page_per_shard": Query(
         lambda spark, d: search.retain(
-            search.shard_topk(_hits(spark, d, TOKENS_ONLY)),
+            search.shard_topk(_hits(spark, d, TOKENS_ONLY), 25),
             search.page(_merged(spark, d, TOKENS_ONLY), 5, 30),
         ),
         _search_sql(
@@ -338,13 +410,37 @@ FROM replies GROUP BY round_id""",
             page_sql(10, 15),
         ),
     ),
+    "search_page_scan": Query(
+        _search_page_scan,
+        _search_sql(
+            FLAGSHIP,
+            f"SELECT {', '.join('e.' + c for c in ROW_COLUMNS)} FROM page JOIN entries e USING ({IDS}) ORDER BY score, {IDS}",
+            page_sql(10, 15),
+        ),
+    ),
+    "search_page_cached": Query(
+        _search_page_cached,
+        _search_sql(
+            TOKENS_ONLY,
+            f"SELECT {', '.join('e.' + c for c in ROW_COLUMNS)} FROM page JOIN entries e USING ({IDS}) WHERE doc_id % 2 = 0",
+            page_sql(10, 30),
+        ),
+    ),
+    "index_append": Query(_index_append, _index_sql("true", "(SELECT count(*) FROM entries) AS documents")),
+    "index_delete": Query(
+        _index_delete,
+        _index_sql(
+            "doc_id % 5 <> 0 OR doc_id % 10 = 0",
+            "count(*) AS postings, (SELECT count(*) FROM entries WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0) AS documents",
+        ),
+    ),
     "search_batch": Query(_search_batch, BATCH_SQL),
     "search_batch_stored_index": Query(_write_and_read_index, BATCH_SQL),
     "pattern_entries_join": Query(
         _pattern_entries_join, fx.sql("entries", f"SELECT pattern_id, {IDS} FROM hits", *BATCH_CTES)
     ),
     "search_merge_rescore": Query(
-        lambda spark, d: search.search_union(fx.entries(spark, d), FLAGSHIP, 60),
+        lambda spark, d: search.search_union(fx.entries(spark, d), FLAGSHIP, 25, 60),
         fx.sql(
             "entries",
             f"""SELECT category, shard_id, {IDS}, {score_sql(FLAGSHIP, 'united')} AS score FROM united

@@ -18,6 +18,7 @@ from shelfmark.plans.telemetry_queries import (
     LAG_SELECT,
     PCT_SELECT,
     RANKED,
+    TARGET,
     WIDTH,
     WINDOW,
     overview_sql,
@@ -44,16 +45,38 @@ def staged(
     path = work_dir(spark, "staged")
     rows.write.parquet(path)
     if closing_columns:
-        last = rows.limit(1).withColumns(
-            {c: F.lit(CLOSING).cast("timestamp") for c in closing_columns}
-        )
-        last.write.mode("append").parquet(path)
+        _close(rows, path, closing_columns)
     reader = spark.readStream.schema(rows.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
+def _close(rows: DataFrame, path: str, columns: tuple[str, ...]) -> None:
+    last = rows.limit(1).withColumns({c: F.lit(CLOSING).cast("timestamp") for c in columns})
+    last.coalesce(1).write.mode("append").parquet(path)
+
+
+def in_batches(
+    spark: Spark, rows: DataFrame, *closing_columns: str, time: str = "ts", batches: int = 3
+) -> DataFrame:
+    """The same in time order, as several micro-batches of about equal size: one file each."""
+    path = work_dir(spark, "staged")
+    micros = F.unix_micros(time)
+    shares = [i / batches for i in range(1, batches)]
+    bounds = rows.agg(F.percentile_approx(micros, shares, 1000)).first()[0] or []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = rows
+        if low is not None:
+            part = part.filter(micros > low)
+        if high is not None:
+            part = part.filter(micros <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    if closing_columns:
+        _close(rows, path, closing_columns)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def before_closing(rows: DataFrame, column: str = "window_start") -> DataFrame:
     return rows.filter(F.col(column) < F.lit(CLOSING).cast("timestamp"))
 
@@ -66,7 +89,7 @@ def appended(spark: Spark, stream: DataFrame) -> DataFrame:
 
 
 def _states(spark: Spark, d: str) -> DataFrame:
-    return staged(spark, fx.peer_state(spark, d), "ts")
+    return in_batches(spark, fx.peer_state(spark, d), "ts")
 
 
 def _state_windows(spark: Spark, d: str) -> DataFrame:
@@ -98,15 +121,14 @@ def _shard_overview(spark: Spark, d: str) -> DataFrame:
 
 
 def _convergence(spark: Spark, d: str) -> DataFrame:
-    capped = fx.peer_state(spark, d).withColumn("num_entries", F.least("num_entries", F.lit(5)))
-    states = staged(spark, capped, "ts")
-    return before_closing(appended(spark, telemetry.stream_convergence(states, 10, 5, WIDTH)))
+    stream = telemetry.stream_convergence(_states(spark, d), 1, TARGET, "1 minute")
+    return before_closing(appended(spark, stream))
 
 
 def _dedup_requests(spark: Spark, d: str) -> DataFrame:
     path = work_dir(spark, "out")
     requests.stream_dedup_requests(
-        staged(spark, fx.add_requests(spark, d)),
+        in_batches(spark, fx.add_requests(spark, d)),
         path,
         work_dir(spark, "state"),
         work_dir(spark, "checkpoint"),
@@ -133,13 +155,14 @@ UNION ALL SELECT f.request_id, f.next_event FROM chain c JOIN following f ON f.r
 
 
 def _native_dedup(spark: Spark, d: str) -> DataFrame:
-    stream = staged(spark, fx.add_requests(spark, d))
-    return appended(spark, requests.native_dedup(stream, ["request_id"])).select("request_id")
+    """With a delay beyond the whole stream: every id comes out once, in whichever batch."""
+    stream = in_batches(spark, fx.add_requests(spark, d))
+    return appended(spark, requests.native_dedup(stream, ["request_id"], "3650 days")).select("request_id")
 
 
 def _first_reply(spark: Spark, d: str) -> DataFrame:
-    stream = staged(spark, fx.replies(spark, d))
-    return appended(spark, replies.stream_first_reply(stream)).select("round_id", "shard_id")
+    stream = in_batches(spark, fx.replies(spark, d), "ts", batches=4)
+    return before_closing(appended(spark, replies.stream_first_reply(stream, TIMEOUT)), "ts")
 
 
 def _rounds(spark: Spark, d: str) -> tuple[DataFrame, DataFrame]:
@@ -167,8 +190,9 @@ FROM queries q JOIN answers r ON {IN_TIME}"""
 
 def _reply_join(spark: Spark, d: str) -> DataFrame:
     queries, answers = _rounds(spark, d)
-    joined = replies.stream_reply_join(staged(spark, queries), staged(spark, answers), TIMEOUT)
-    return appended(spark, joined)
+    asked, told = in_batches(spark, queries, time="query_ts"), in_batches(spark, answers)
+    # What a stream has behind the watermark of both is ignored, so the delay spans a batch.
+    return appended(spark, replies.stream_reply_join(asked, told, TIMEOUT, "30 days"))
 
 
 def _reply_join_batch(spark: Spark, d: str) -> DataFrame:
@@ -177,9 +201,8 @@ def _reply_join_batch(spark: Spark, d: str) -> DataFrame:
 
 def _round_timeout(spark: Spark, d: str) -> DataFrame:
     queries, answers = _rounds(spark, d)
-    out = replies.stream_round_timeout(
-        staged(spark, queries, "query_ts"), staged(spark, answers, "ts"), TIMEOUT
-    )
+    asked = in_batches(spark, queries, "query_ts", time="query_ts")
+    out = replies.stream_round_timeout(asked, in_batches(spark, answers, "ts"), TIMEOUT, "30 days")
     return before_closing(appended(spark, out), "query_ts")
 
 
@@ -254,7 +277,7 @@ def _freshest(spark: Spark, d: str) -> DataFrame:
 def _dumped(spark: Spark, d: str) -> str:
     path = work_dir(spark, "dump")
     dumps.write_windows(
-        staged(spark, fx.peer_state(spark, d)), path, work_dir(spark, "checkpoint"), WIDTH
+        in_batches(spark, fx.peer_state(spark, d)), path, work_dir(spark, "checkpoint"), WIDTH
     ).awaitTermination()
     return path
 
@@ -305,8 +328,8 @@ QUERIES: dict[str, Query] = {
         _convergence,
         fx.sql(
             "peer_state",
-            f"""SELECT {WINDOW}, count(*) AS packets FROM peer_state GROUP BY 1
-HAVING count(*) >= 10 AND bool_and(least(num_entries, 5) = 5)""",
+            f"""SELECT date_trunc('minute', ts) AS window_start, count(*) AS packets FROM peer_state GROUP BY 1
+HAVING count(*) >= 1 AND bool_and(num_entries = {TARGET})""",
         ),
     ),
     "stream_dedup_requests": Query(_dedup_requests, _dedup_sql(300)),
@@ -315,7 +338,12 @@ HAVING count(*) >= 10 AND bool_and(least(num_entries, 5) = 5)""",
         _native_dedup, fx.sql("add_requests", "SELECT DISTINCT request_id FROM add_requests")
     ),
     "stream_first_reply": Query(
-        _first_reply, fx.sql("replies", "SELECT DISTINCT round_id, shard_id FROM replies")
+        _first_reply,
+        fx.sql(
+            "replies",
+            """SELECT round_id, shard_id, ts, event_id FROM (SELECT *, row_number() OVER (
+PARTITION BY round_id, shard_id ORDER BY ts, event_id) AS rn FROM replies) WHERE rn = 1""",
+        ),
     ),
     "reply_interval_join": Query(_reply_join_batch, JOIN_SQL),
     "stream_reply_join": Query(_reply_join, JOIN_SQL),

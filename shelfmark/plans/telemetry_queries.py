@@ -17,6 +17,8 @@ Spark = SparkSession
 # The given events are minutes apart, so the default window of 5 seconds would
 # hold single packets.
 WIDTH = "1 hour"
+# A number of entries that some windows of the given packets agree on.
+TARGET = 19
 WINDOW = "date_trunc('hour', ts) AS window_start"
 LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (
 PARTITION BY node_id ORDER BY ts DESC, num_entries DESC) AS rn FROM peer_state) WHERE rn = 1)"""
@@ -105,23 +107,22 @@ def _window_processor(spark: Spark, d: str) -> DataFrame:
 
 
 def _final_state(spark: Spark, d: str) -> DataFrame:
-    """User code: a node is in its final state when it ever reached 100 entries."""
+    """User code: a node is in its final state, 1, when it ever reached 100 entries in a day."""
     return telemetry.register_final_state(
         telemetry.in_windows(fx.peer_state(spark, d), "1 day"),
-        lambda rows: rows.groupBy("window_start", "node_id").agg(
-            F.least(F.max("num_entries"), F.lit(100)).alias("num_entries")
+        lambda rows: rows.groupBy("window_start", "partition_id", "node_id").agg(
+            (F.max("num_entries") >= 100).cast("int").alias("num_entries")
         ),
-        nodes=50,
-        target=100,
-        by=["window_start"],
+        nodes=3,
+        target=1,
+        by=["window_start", "partition_id"],
     )
 
 
 def _converged(spark: Spark, d: str) -> DataFrame:
-    capped = fx.peer_state(spark, d).withColumn("num_entries", F.least("num_entries", F.lit(5)))
-    return telemetry.cluster_converged(
-        telemetry.in_windows(capped, WIDTH), 10, 5, ["window_start"]
-    )
+    """Windows of a minute whose packets all report the target, which some do."""
+    states = telemetry.in_windows(fx.peer_state(spark, d), "1 minute")
+    return telemetry.cluster_converged(states, 1, TARGET, ["window_start"])
 
 
 QUERIES: dict[str, Query] = {
@@ -156,7 +157,8 @@ QUERIES: dict[str, Query] = {
         _converged,
         fx.sql(
             "peer_state",
-            f"SELECT {WINDOW}, count(*) >= 10 AND bool_and(least(num_entries, 5) = 5) AS converged FROM peer_state GROUP BY 1",
+            f"""SELECT date_trunc('minute', ts) AS window_start, count(*) >= 1 AND bool_and(num_entries = {TARGET}) AS converged
+FROM peer_state GROUP BY 1""",
         ),
     ),
     "entries_per_node_extremes": _s(
@@ -200,9 +202,9 @@ CASE WHEN leader_id IS NOT NULL THEN nodes END AS nodes, half, three_quarters, f
         _final_state,
         fx.sql(
             "peer_state",
-            """SELECT window_start, count(*) >= 50 AND bool_and(reached = 100) AS converged FROM (
-SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, node_id, least(max(num_entries), 100) AS reached FROM peer_state GROUP BY 1, 2)
-GROUP BY window_start""",
+            """SELECT window_start, partition_id, count(*) >= 3 AND bool_and(reached) AS converged FROM (
+SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, partition_id, node_id, max(num_entries) >= 100 AS reached
+FROM peer_state GROUP BY 1, 2, 3) GROUP BY window_start, partition_id""",
         ),
     ),
     "window_filter": _s(

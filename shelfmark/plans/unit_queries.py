@@ -149,6 +149,27 @@ def _until_fits_sizes(spark: Spark, d: str) -> DataFrame:
     )
 
 
+def _until_fits_sql(body: str) -> str:
+    """Fifteen rounds over the unit counts of all shards."""
+    shard = "PARTITION BY category, partition_id, depth"
+    return fx.sql(
+        "entries",
+        body,
+        f"""rounds AS (SELECT 0 AS round, category, shard_id AS partition_id, CAST(2 AS INTEGER) AS depth, epoch_id, leader_id,
+count(*) AS num_entries, false AS stuck FROM entries GROUP BY category, shard_id, epoch_id, leader_id
+UNION ALL
+SELECT round + 1, category,
+CASE WHEN due AND median > first AND unit < median THEN partition_id + (CAST(1 AS BIGINT) << depth) ELSE partition_id END,
+CASE WHEN due AND median > first THEN depth + 1 ELSE depth END, epoch_id, leader_id, num_entries,
+stuck OR (due AND median = first)
+FROM (SELECT *, size >= {THRESHOLD} AND depth < 15 AND NOT any_stuck AS due,
+max(CASE WHEN upto > size // 2 AND upto - num_entries <= size // 2 THEN unit END) OVER ({shard}) AS median
+FROM (SELECT *, CAST(sum(num_entries) OVER ({shard}) AS BIGINT) AS size, min(unit) OVER ({shard}) AS first,
+CAST(sum(num_entries) OVER ({shard} ORDER BY unit) AS BIGINT) AS upto, bool_or(stuck) OVER ({shard}) AS any_stuck
+FROM (SELECT *, epoch_id * 1000 + leader_id AS unit FROM rounds WHERE round < 15))))""",
+    ).replace("WITH", "WITH RECURSIVE", 1)
+
+
 MEDIANS = f"""medians AS (SELECT category, shard_id, n, epoch_id AS me, leader_id AS ml, entry_id AS mi FROM (
 SELECT *, count(*) OVER (PARTITION BY category, shard_id) AS n,
 row_number() OVER (PARTITION BY category, shard_id ORDER BY {IDS}) AS rn FROM entries) WHERE rn = n // 2 + 1)"""
@@ -477,8 +498,19 @@ FROM entries JOIN medians USING (category, shard_id)""",
             MEDIANS,
         ),
     ),
-    "shard_until_fits": Query(_until_fits),
-    "shard_until_fits_sizes": Query(_until_fits_sizes),
+    "shard_until_fits": Query(
+        _until_fits,
+        _until_fits_sql(
+            "SELECT category, partition_id, depth, epoch_id, leader_id, num_entries FROM rounds WHERE round = 15"
+        ),
+    ),
+    "shard_until_fits_sizes": Query(
+        _until_fits_sizes,
+        _until_fits_sql(
+            """SELECT category, partition_id, depth, CAST(sum(num_entries) AS BIGINT) AS num_entries, bool_or(stuck) AS stuck
+FROM rounds WHERE round = 15 GROUP BY category, partition_id, depth"""
+        ),
+    ),
     "skip_list": Query(
         _skip(True),
         fx.sql("units", f"SELECT * FROM ahead WHERE {UNIT_KEY} >= (2, 101)", BROKEN, SKIP_BASE),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -14,10 +15,8 @@ UNIT = ["epoch_id", "leader_id"]
 # A shard: one partition of one category.
 SHARD = ["category", "shard_id"]
 
-# The defaults the catalog service publishes.
-HITS_PER_SHARD = 25
-MERGED_HIT_CAP = 1000
-UNION_RESULT_CAP = 500
+# The defaults the catalog service publishes. The limits on hits (25 a shard, 1000
+# merged, 500 united) are no defaults here: a search is complete unless its caller sets a limit.
 PAGE_SIZE = 10
 QUERY_TIMEOUT_SECONDS = 10
 HIT_LIST_SECONDS = 25
@@ -81,6 +80,16 @@ PATTERN_SCHEMA = T.StructType(
 )
 
 
+# What separates the tokens of a pattern, for one pattern and for a table of them.
+TOKEN_BREAK = r"[ \t\n\r\f]+"
+
+
+def split_tokens(text: str | None, fold_case: bool) -> list[str]:
+    """Tokens of a clause, as the token column of a pattern table holds them."""
+    folded = (text or "").lower() if fold_case else text or ""
+    return [t for t in re.split(TOKEN_BREAK, folded) if t]
+
+
 @dataclass(frozen=True)
 class Pattern:
     """One search request. Every clause is optional."""
@@ -95,8 +104,7 @@ class Pattern:
     description: str | None = None
 
     def file_tokens(self) -> list[str]:
-        return [t.lower() for t in (self.file_name or "").split()]
+        return split_tokens(self.file_name, fold_case=True)
 
     def description_tokens(self, fold_case: bool = False) -> list[str]:
-        text = self.description or ""
-        return (text.lower() if fold_case else text).split()
+        return split_tokens(self.description, fold_case)

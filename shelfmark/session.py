@@ -1,18 +1,10 @@
-"""Session settings and the few places where work is made durable or moved to the driver."""
+"""Session settings, and the shared folder in which work is made durable."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest side table that is copied to every executor. Anything above one of these
-# is joined by shuffle instead.
-BROADCAST_ROWS = 50_000
-BROADCAST_BYTES = 64 * 2**20
+from pyspark.sql import DataFrame, SparkSession
 
 SESSION_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,14 +15,18 @@ SESSION_SETTINGS = {
 }
 
 
-def local_session(cores: str = "8", app: str = "shelfmark", memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks. On a cluster use the session that is given."""
+def local_session(
+    folder: str, cores: str = "8", app: str = "shelfmark", memory: str = "8g"
+) -> SparkSession:
+    """A session for tests and benchmarks, with its own folder for durable tables. On a cluster
+    use the session that is given."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cores)
+        .config("spark.checkpoint.dir", folder)
     )
     for key, value in SESSION_SETTINGS.items():
         builder = builder.config(key, value)
@@ -40,22 +36,14 @@ def local_session(cores: str = "8", app: str = "shelfmark", memory: str = "8g")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder: on a cluster the
-    executors would not see it, and its loss would lose the cut lineage.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all executors share."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named.removesuffix("/")
-    if not context.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="shelfmark-")
-    context.setCheckpointDir(made)
-    return context.getCheckpointDir().removesuffix("/")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named.removesuffix("/")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -70,33 +58,5 @@ def durable(df: DataFrame) -> DataFrame:
     ``df`` once (an eager checkpoint computes it a second time to save it).
     """
     path = work_dir(df.sparkSession, "durable")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Return ``df`` as a literal table if it has at most ``rows`` rows, else ``df`` itself.
-
-    The flag says whether it is small, in rows and in bytes. The check reads at most
-    ``rows + 1`` rows of what must be a narrow table, and computes it only once when
-    it is small.
-    """
-    head = df.limit(rows + 1).toArrow()
-    if head.num_rows > rows or head.nbytes > BROADCAST_BYTES:
-        return df, False
-    return df.sparkSession.createDataFrame(head, df.schema), True
-
-
-def join_side(
-    big: DataFrame,
-    side: DataFrame,
-    on: Sequence[str] | str | Column,
-    how: str = "inner",
-    rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join ``side`` to ``big``: by broadcast when its size is proven, else by shuffle.
-
-    In the shuffle case adaptive execution splits hot keys of ``big``.
-    """
-    table, small = bounded_side(side, rows)
-    return big.join(F.broadcast(table) if small else table, on, how)

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.operators.predicates import MIN_LONG, delete_where
+from shelfmark.operators.predicates import MIN_LONG, any_of
 from shelfmark.schema import ENTRY_SCHEMA, ID
+from shelfmark.session import durable
 
 # What a missing field reads as.
 READ_DEFAULTS = {
@@ -82,10 +83,18 @@ def append_entries(df: DataFrame, path: str) -> None:
     )
 
 
-def rewrite_without(spark: SparkSession, path: str, target: str, *predicates: Column) -> None:
-    """Write the store without the rows that satisfy any of the predicates to a new folder."""
-    survivors = delete_where(spark.read.schema(ENTRY_SCHEMA).parquet(path), *predicates)
-    survivors.write.mode("overwrite").partitionBy("category").parquet(target)
+def delete_entries(spark: SparkSession, path: str, *predicates: Column) -> None:
+    """Delete the rows that satisfy any of the predicates, in place.
+
+    Only categories that lose rows are written anew, each from a copy of what stays.
+    """
+    rows = spark.read.schema(ENTRY_SCHEMA).parquet(path)
+    doomed = any_of([F.coalesce(p, F.lit(False)) for p in predicates])
+    # At most one row for each of the fixed categories.
+    losing = [r[0] for r in rows.filter(doomed).select("category").distinct().collect()]
+    for category in losing:
+        kept = durable(rows.filter((F.col("category") == category) & ~doomed).drop("category"))
+        kept.write.mode("overwrite").parquet(f"{path}/category={category}")
 
 
 def truncate(spark: SparkSession, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfmark.operators.counts import latest_unit
 from shelfmark.operators.units import tracked_unit
 from shelfmark.schema import ID, UNIT
-from shelfmark.session import bounded_side, durable, join_side
+from shelfmark.session import durable
 from shelfmark.streaming.state import DeltaTable, max_per_key, run_batches, write_batch
 
 FRONTIER_SCHEMA = T.StructType(
@@ -46,23 +46,21 @@ def release(waiting: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFra
     are written apart first, so that whole entries are read once only.
     """
     ids = durable(waiting.select(*ID).distinct())
-    known = join_side(ids.select(*UNIT).distinct(), frontier, UNIT, "left").select(
+    known = ids.select(*UNIT).distinct().join(frontier, UNIT, "left").select(
         *UNIT, F.coalesce("next_id", F.lit(0)).alias("start")
     )
-    fresh = join_side(ids, known, UNIT).filter(F.col("entry_id") >= F.col("start"))
+    fresh = ids.join(known, UNIT).filter(F.col("entry_id") >= F.col("start"))
     possible = fresh.select(*UNIT, "start", (F.col("entry_id") + 1).alias("entry_id"))
     possible = possible.unionByName(known.withColumn("entry_id", F.col("start")))
     # Needed for the rows and for the state, so it is computed once.
-    bounds, small = bounded_side(
+    bounds = durable(
         possible.join(fresh.select(*ID), ID, "left_anti")
         .groupBy(*UNIT, "start")
         .agg(F.min("entry_id").alias("next_id"))
     )
-    if not small:
-        bounds = durable(bounds)
     marked = (
         waiting.dropDuplicates(ID)
-        .join(F.broadcast(bounds) if small else bounds, UNIT)
+        .join(bounds, UNIT)
         .filter(F.col("entry_id") >= F.col("start"))
         .withColumn("released", F.col("entry_id") < F.col("next_id"))
         .drop("start", "next_id")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.ordering import following
 from shelfmark.schema import REQUEST_TTL_SECONDS
-from shelfmark.session import durable, join_side
+from shelfmark.session import durable
 from shelfmark.streaming.state import DeltaTable, max_per_key, run_batches, write_batch
 
 # Rounds before long runs of one id are followed by doubling.
@@ -56,8 +56,7 @@ def _reached(rows: DataFrame, opened: DataFrame, ttl: int) -> DataFrame:
     marks = points.select("request_id", F.col("_at").alias("_key"), F.col("_at").alias("_hit"))
     keys = probes.withColumn("_probe", F.lit(True)).unionByName(marks.withColumn("_probe", F.lit(False)))
     keys = keys.groupBy("request_id", "_key").agg(F.max("_hit").alias("_hit"), F.bool_or("_probe").alias("_probe"))
-    block = max(ttl // 256, 1)
-    pointed = following(keys, ["request_id"], "_key", F.col("_hit"), "_next", block)
+    pointed = following(keys, ["request_id"], "_key", F.col("_hit"), "_next")
     jump = durable(
         pointed.filter(F.col("_probe") & F.col("_next").isNotNull()).select(
             "request_id", (F.col("_key") - ttl).alias("_at"), "_next"
@@ -91,7 +90,7 @@ def _uncovered(rows: DataFrame, opened: DataFrame, ttl: int) -> DataFrame:
         return F.coalesce(F.col("_at").between(F.col(start), F.col(start) + ttl), F.lit(False))
 
     return (
-        join_side(rows, covers, ["request_id", "_bucket"], "left")
+        rows.join(covers, ["request_id", "_bucket"], "left")
         .filter(~covered("_early") & ~covered("_late"))
         .drop("_early", "_late")
     )
@@ -112,7 +111,7 @@ def accept_requests(
     rows = requests.select("request_id", "event_id", at.alias("_at"), _bucket(at, ttl).alias("_bucket"))
     if seen is not None:
         fresh = F.col("seen").isNull() | (F.col("_at") - F.col("seen") > ttl)
-        rows = join_side(rows, seen, "request_id", "left").filter(fresh).drop("seen")
+        rows = rows.join(seen, "request_id", "left").filter(fresh).drop("seen")
     undecided = durable(rows)
     accepted = undecided.limit(0).select("request_id", "_at", "event_id")
     for direct in range(DIRECT_ROUNDS + 1):
@@ -138,11 +137,11 @@ def stream_dedup_requests(
     seen = DeltaTable(state_path, SEEN_SCHEMA, max_per_key(["request_id"], "seen"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        known = seen.before(batch.sparkSession, batch_id)
-        # Ids that can no longer block anything in this batch are left out.
+        # Ids that can no longer block anything from this batch on are left out, and are not
+        # carried into the next snapshot either.
         start = batch.agg(F.min(F.unix_micros("ts"))).first()[0]
-        if start is not None:
-            known = known.filter(F.col("seen") >= start - ttl_seconds * 1_000_000)
+        lives = None if start is None else F.col("seen") >= start - ttl_seconds * 1_000_000
+        known = seen.before(batch.sparkSession, batch_id, lives)
         stored = write_batch(accept_requests(batch, known, ttl_seconds), path, batch_id)
         delta = stored.groupBy("request_id").agg(F.max(F.unix_micros("ts")).alias("seen"))
         seen.add(delta, batch_id)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -46,13 +46,21 @@ class DeltaTable:
     merge: Callable[[DataFrame], DataFrame]
     every: int = SNAPSHOT_EVERY
 
-    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """The rows as they were before ``batch_id``. Writes a snapshot when one is due."""
+    def before(self, spark: SparkSession, batch_id: int, keep: Column | None = None) -> DataFrame:
+        """The rows as they were before ``batch_id``, those that ``keep`` holds for.
+
+        Writes a snapshot of them when one is due, so that rows which no later batch needs
+        do not stay for ever.
+        """
+
+        def kept(rows: DataFrame) -> DataFrame:
+            return rows if keep is None else rows.filter(keep)
+
         base = batch_id // self.every * self.every
         if base and base == batch_id:
-            current = self.merge(self._since(spark, base - self.every, base))
+            current = kept(self.merge(self._since(spark, base - self.every, base)))
             current.write.mode("overwrite").parquet(f"{self.path}/snapshot={base}")
-        return self.merge(self._since(spark, base, batch_id))
+        return kept(self.merge(self._since(spark, base, batch_id)))
 
     def _since(self, spark: SparkSession, base: int, batch_id: int) -> DataFrame:
         folders = [f"{self.path}/delta={b}" for b in range(base, batch_id)]

@@ -11,10 +11,10 @@ DATA = Path("/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from shelfmark.session import local_session
 
-    session = local_session("8", "shelfmark-tests")
+    session = local_session(str(tmp_path_factory.mktemp("shared")), "8", "shelfmark-tests")
     yield session
     session.stop()
 

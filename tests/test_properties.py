@@ -5,11 +5,13 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import batch_search, postings, search, shards, units
+from shelfmark.operators.predicates import match
 from shelfmark.plans import fixtures as fx
 from shelfmark.plans.search_queries import FLAGSHIP, TOKENS_ONLY
-from shelfmark.schema import ID, SHARD, Pattern
+from shelfmark.schema import ID, PATTERN_SCHEMA, SHARD, Pattern
 from shelfmark.session import work_dir
 
 
@@ -97,11 +99,11 @@ def test_hit_lists_expire(spark, entries):
 
 
 def test_limits_are_applied_before_the_shuffle(entries):
-    top = search.shard_topk(search.score(entries, TOKENS_ONLY))
+    top = search.shard_topk(search.score(entries, TOKENS_ONLY), 25)
     plan = top._jdf.queryExecution().executedPlan().toString()
     before, after = plan.split("Exchange hashpartitioning")
     assert "Final" in before and "Partial" in after
-    merged = search.merge_hits(top)._jdf.queryExecution().executedPlan().toString()
+    merged = search.merge_hits(top, 100)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in merged
 
 
@@ -113,15 +115,39 @@ def test_expanded_tokens_equal_substring_search(spark, entries):
     assert got == sorted((t[0], w) for t in tokens.collect() for w in words if t[0] in w)
 
 
-def test_postings_of_chosen_terms(spark, entries, monkeypatch):
-    """Counted in the row, kept by a broadcast, kept by a shuffle: the same postings."""
+def test_postings_of_chosen_terms(spark, entries):
+    """Terms that are left out leave the others as they are."""
     chosen = [("description", t) for t in ("ther", "inea", "the", "ou")] + [("file_name", "ing")]
     only = spark.createDataFrame(chosen, "field string, term string")
     whole = postings.build_postings(entries).join(only, ["field", "term"], "left_semi")
     expected = sorted(rows(whole.select("field", "term", *ID, "length", "tf")))
-    for counted, broadcast in ((32, 50_000), (1, 50_000), (1, 2)):
-        monkeypatch.setattr(postings, "COUNTED_TERMS", counted)
-        monkeypatch.setattr("shelfmark.session.join_side.__defaults__", ("inner", broadcast))
-        got = postings.build_postings(entries, only=only)
-        assert sorted(rows(got.select("field", "term", *ID, "length", "tf"))) == expected
+    got = postings.build_postings(entries, only=only)
+    assert sorted(rows(got.select("field", "term", *ID, "length", "tf"))) == expected
     assert expected
+
+
+def test_odd_tokens(spark, entries):
+    """Blanks and wildcards split and match alike for one pattern and for a table of them."""
+    names = ["in\x0ber", "in\u00a0er", "IN\fer", "i?g", "an*", "*", "??", "o-n", "\\*", "e*e?n th", " \t", "i?g\nzzz"]
+    patterns = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pattern_id int, file_name string")
+    for field in PATTERN_SCHEMA.fields[2:]:
+        patterns = patterns.withColumn(field.name, F.lit(None).cast(field.dataType))
+    many = batch_search.batch_hits(entries, patterns).groupBy("pattern_id").count().collect()
+    found = {r["pattern_id"]: r["count"] for r in many}
+    for i, name in enumerate(names):
+        single = match(entries, Pattern(file_name=name)).count()
+        assert found.get(i, 0) == single, name
+    assert found.get(0, 0) == 0 and found[3] and found[4] and found[5]
+
+
+def test_pages_past_a_thousand_hits(spark, entries):
+    """Nothing is cut: every hit is counted, and the last page has the strongest."""
+    many = entries.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    many = many.withColumn("epoch_id", F.col("epoch_id") + F.col("copy") * 1000)
+    pattern = Pattern(file_name="e in")
+    hits = search.merged_hits(many, pattern)
+    total = hits.count()
+    assert total == match(many, pattern).count() and total > 1100
+    last = search.page(hits, total - 3, 10).collect()
+    assert len(last) == 3 and last[-1]["score"] == hits.agg(F.max("score")).first()[0]
+    assert search.search(many, pattern, 1050, 20).count() == 20

@@ -10,7 +10,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import batch_search, counts, ordering, peers, shards, units
-from shelfmark.session import bounded_side, join_side
 from shelfmark.streaming import requests
 
 RNG = random.Random(7)
@@ -64,12 +63,11 @@ def test_median_of_equal_ids(spark):
     assert counts.median_id(df).first()["entry_id"] == 2
 
 
-@pytest.mark.parametrize("block", [3, 64, 65_536])
-def test_following(spark, block):
+def test_following(spark):
     keys = sorted(RNG.sample(range(-2000, 2000), 600))
     rows = [(g, k, k if RNG.random() < 0.1 else None) for g, k in zip(uneven(len(keys), 3), keys)]
     df = spark.createDataFrame(rows, "g int, k long, v long")
-    got = ordering.following(df, ["g"], "k", F.col("v"), "n", block).collect()
+    got = ordering.following(df, ["g"], "k", F.col("v"), "n").collect()
     for r in got:
         later = [v for g, k, v in rows if g == r["g"] and k > r["k"] and v is not None]
         assert r["n"] == (later[0] if later else None)
@@ -188,14 +186,19 @@ def test_shard_until_fits(spark):
     assert alone
 
 
-def test_bounded_side(spark):
-    small, is_small = bounded_side(spark.range(10), 10)
-    assert is_small and small.count() == 10
-    large, is_small = bounded_side(spark.range(11), 10)
-    assert not is_small and large.count() == 11
-    joined = join_side(spark.range(100), spark.range(50), "id", rows=5)
-    assert joined.count() == 50
-    assert "BroadcastExchange" in join_side(spark.range(100), spark.range(5), "id")._jdf.queryExecution().toString()
+def test_no_group_in_one_task(spark):
+    """Random 64-bit keys in a single group: no exchange gathers the rows."""
+    keys = sorted({RNG.randrange(-(2**62), 2**62) for _ in range(4000)})
+    df = spark.createDataFrame([(k,) for k in keys], "key long").withColumn("g", F.lit(0))
+    value = F.when(F.col("key") % 3 == 0, F.col("key"))
+    found = ordering.following(df, ["g"], "key", value, "next")
+    got = {r["key"]: r["next"] for r in found.collect()}
+    wanted, ahead = {}, None
+    for k in reversed(keys):
+        wanted[k] = ahead
+        ahead = k if k % 3 == 0 else ahead
+    assert got == wanted
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 def test_one_hot_shard_in_one_split(spark):
