@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.work import durable, free_name, held, key_filter, rows_in_filter
+from shelfmark.llm.work import durable, free_name, held, key_filter, rows_in_filter, small_batches
 
 # Kinds of the base spans, in order, then those of the method.
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
@@ -134,7 +134,8 @@ def _count_known(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Itera
             for text in batch.column(0):
                 found = list({t.lower() for t in _TERM.findall(text.as_py())})
                 if found:
-                    keys = np.fromiter((crc32(t.encode()) for t in found), np.uint64, len(found)) << np.uint64(32)
+                    keys = np.fromiter((crc32(t.encode()) for t in found), np.uint64, len(found))
+                    keys |= keys << np.uint64(32)
                     counts.update(found[i] for i in np.flatnonzero(held(known.value, keys)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"]
@@ -175,6 +176,7 @@ def disclosures(
     A term is weighed against an entity if they stand together in at least ``min_texts``
     different texts; all counts are of documents, over the whole corpus.
     """
+    small_batches(docs.sparkSession)
     rows = _whole(docs)
     base = durable(rows.mapInArrow(_base, BASE_SCHEMA))
     total = base.count()
@@ -201,7 +203,8 @@ def disclosures(
         .agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"))
         .filter(F.col("texts") >= min_texts)
     )
-    term_key = F.shiftleft(F.crc32(F.col("term").cast("binary")), 32)
+    crc = F.crc32(F.col("term").cast("binary"))
+    term_key = crc.bitwiseOR(F.shiftleft(crc, 32))
     known = key_filter(joint.select(term_key.alias("hash")), "hash")
     n_term = rows.select("text").mapInArrow(_count_known(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     told = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))

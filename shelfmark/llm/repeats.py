@@ -12,7 +12,7 @@
    task finds the smallest document and answers the slice. Windows of larger documents, joined
    where they overlap, are the maximal repeats.
 
-Windows are compared by 96 bits of hash.
+Windows are compared by 80 bits of hash.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.words import U64, Words, ngram_hashes, ngram_starts, word_slices
-from shelfmark.llm.work import durable, held, key_filter
+from shelfmark.llm.words import U64, Words, mix, ngram_hashes, ngram_starts, word_slices
+from shelfmark.llm.work import durable, held, key_filter, small_batches
 
 WINDOW = 13
 BLOCK = 7
 SLICE = 4 * 2**20
 RANGE_BYTES = 3 * 2**20
-ANCHOR_BITS = 48
+ANCHOR_FILTER_BITS = 27
 
 ANCHOR_SCHEMA = "bucket int, probes binary, shared binary, blocks binary"
 SPLIT_SCHEMA = (
@@ -50,7 +50,7 @@ ANSWER_SCHEMA = "unit long, hashes binary, checks binary, least binary"
 
 def encoded(values: np.ndarray) -> bytes:
     """An integer array by byte planes, compressed. Small values cost little."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     raw = np.ascontiguousarray(planes).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -79,14 +79,20 @@ def _edges(hashes: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return np.concatenate([[0], inner, [len(hashes)]]).astype(np.int64)
 
 
-def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def anchor_bits(total: int) -> int:
+    """Bits of an anchor's hash: with ten more than the number of texts' bytes has, about one
+    window in several thousand meets another by chance, whatever the size of the corpus."""
+    return min(62, max(24, total.bit_length() + 10))
+
+
+def _anchors(buckets: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_slices(batch.column(0), SLICE):
                 starts = ngram_starts(words, BLOCK)
                 if not len(starts):
                     continue
-                hashes = ngram_hashes(words.hashes, BLOCK)[starts] >> U64(64 - ANCHOR_BITS)
+                hashes = ngram_hashes(words.hashes, BLOCK)[starts] >> U64(64 - bits)
                 docs = words.doc[starts]
                 aligned = (starts - words.offsets()[docs]) % BLOCK == 0
                 blocks = np.unique(hashes[aligned])
@@ -96,7 +102,7 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 last = np.r_[begin[1:], len(hashes)] - 1
                 probes = hashes[begin]
                 shared = probes[docs[begin] != docs[last]]
-                parts = [(v, _edges(v, ANCHOR_BITS, buckets)) for v in (probes, shared, blocks)]
+                parts = [(v, _edges(v, bits, buckets)) for v in (probes, shared, blocks)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(buckets), pa.int32())]
                     + [
@@ -110,7 +116,7 @@ def _anchors(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """Blocks of a range that stand in at least two documents, as keys of 64 bits."""
+    """Blocks of a range that stand in at least two documents, as keys of a filter."""
 
     def all_of(name: str) -> np.ndarray:
         parts = [decoded_sorted(x) for x in table[name].to_pylist()]
@@ -119,14 +125,14 @@ def _recurring(table: pa.Table) -> pa.Table:
     probes = np.sort(all_of("probes"))
     repeated = probes[1:][probes[1:] == probes[:-1]]
     found = np.intersect1d(np.concatenate([repeated, all_of("shared")]), all_of("blocks"))
-    return pa.table({"anchor": pa.array((found << U64(64 - ANCHOR_BITS)).view(np.int64))})
+    return pa.table({"anchor": pa.array(mix(found).view(np.int64))})
 
 
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, hashes and second hashes of all windows."""
     starts = ngram_starts(words, window)
     hashes = ngram_hashes(words.hashes, window)[starts]
-    checks = (ngram_hashes(words.hashes, window, seed=1)[starts] >> U64(32)).astype(np.uint32)
+    checks = (ngram_hashes(words.hashes, window, seed=1)[starts] >> U64(48)).astype(np.uint16)
     return starts, hashes, checks
 
 
@@ -143,7 +149,7 @@ def _result(words: Words, row: int, begin: int, end: int, covered: np.ndarray |
     return end - begin, end - begin - len(keep), runs, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None
 
 
-def _split(known: Broadcast, window: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _split(known: Broadcast, bits: int, window: int, texts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Results of documents without a window near an anchor; texts of the others, with the
     slice that they belong to."""
 
@@ -152,7 +158,7 @@ def _split(known: Broadcast, window: int, texts: bool) -> Callable[[Iterator[pa.
         for batch in batches:
             for words in word_slices(batch.column(1), SLICE):
                 unit += 1
-                near = ngram_starts(words, window)[_near_windows(words, known.value, window)]
+                near = ngram_starts(words, window)[_near_windows(words, known.value, bits, window)]
                 some = np.zeros(words.rows, dtype=bool)
                 some[words.doc[near]] = True
                 words.data = words.data.tobytes()
@@ -177,17 +183,17 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _near_windows(words: Words, known: np.ndarray, window: int) -> np.ndarray:
+def _near_windows(words: Words, known: np.ndarray, bits: int, window: int) -> np.ndarray:
     """Which windows hold a probe that hits an anchor."""
     hits = np.zeros(len(words.doc) + 1, np.int64)
     starts = ngram_starts(words, BLOCK)
-    hits[starts + 1] = held(known, ngram_hashes(words.hashes, BLOCK)[starts])
+    hits[starts + 1] = held(known, mix(ngram_hashes(words.hashes, BLOCK)[starts] >> U64(64 - bits)))
     hits = np.cumsum(hits)
     starts = ngram_starts(words, window)
     return hits[starts + window - BLOCK + 1] > hits[starts]
 
 
-def _entries(known: Broadcast, window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _entries(known: Broadcast, bits: int, window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The distinct windows near an anchor, of the rows of one slice, with the smallest document
     that holds each and how far the largest lies above it."""
 
@@ -199,7 +205,7 @@ def _entries(known: Broadcast, window: int, buckets: int) -> Callable[[Iterator[
                 ids = batch.column(1).slice(a, b - a).to_numpy()
                 for words in word_slices(batch.column(2).slice(a, b - a), SLICE):
                     starts, hashes, checks = _windows(words, window)
-                    near = _near_windows(words, known.value, window)
+                    near = _near_windows(words, known.value, bits, window)
                     starts, hashes, checks = starts[near], hashes[near], checks[near]
                     if not len(starts):
                         continue
@@ -236,7 +242,7 @@ def _answers(table: pa.Table) -> pa.Table:
     sizes = np.array([len(h) for h in hashes])
     of = np.repeat(np.arange(len(units)), sizes)
     hashes = np.concatenate(hashes)
-    checks = np.concatenate([decoded(x, np.uint32) for x in table["checks"].to_pylist()])
+    checks = np.concatenate([decoded(x, np.uint16) for x in table["checks"].to_pylist()])
     least = np.concatenate([decoded(x, np.int64) for x in table["least"].to_pylist()])
     spread = np.concatenate([decoded(x, np.uint64) for x in table["spread"].to_pylist()])
     most = (least.view(np.uint64) + spread).view(np.int64)
@@ -276,10 +282,10 @@ def _smaller(answers: tuple, hashes: np.ndarray, checks: np.ndarray, docs: np.nd
 def _removed(window: int, texts: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def removed(left: pa.Table, right: pa.Table) -> pa.Table:
         hashes = [decoded_sorted(x) for x in right["hashes"].to_pylist()]
-        answers = (np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        answers = (np.zeros(0, U64), np.zeros(0, np.uint16), np.zeros(0, np.int64))
         if hashes:
             known = np.concatenate(hashes)
-            checks = np.concatenate([decoded(x, np.uint32) for x in right["checks"].to_pylist()])
+            checks = np.concatenate([decoded(x, np.uint16) for x in right["checks"].to_pylist()])
             least = np.concatenate([decoded(x, np.int64) for x in right["least"].to_pylist()])
             order = np.argsort(known, kind="stable")
             answers = (known[order], checks[order], least[order])
@@ -318,17 +324,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     """
     if window < 2 * BLOCK - 1:
         raise ValueError(f"a window needs at least {2 * BLOCK - 1} words")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, total // RANGE_BYTES)
+    buckets, bits = max(1, total // RANGE_BYTES), anchor_bits(total)
     anchors = (
-        rows.select("text").mapInArrow(_anchors(buckets), ANCHOR_SCHEMA).groupBy("bucket").applyInArrow(_recurring, "anchor long")
+        rows.select("text").mapInArrow(_anchors(buckets, bits), ANCHOR_SCHEMA).groupBy("bucket").applyInArrow(_recurring, "anchor long")
     )
-    known = key_filter(anchors, "anchor")
-    table = durable(rows.mapInArrow(_split(known, window, texts), SPLIT_SCHEMA))
+    known = key_filter(anchors, "anchor", ANCHOR_FILTER_BITS)
+    table = durable(rows.mapInArrow(_split(known, bits, window, texts), SPLIT_SCHEMA))
     near = table.filter(F.col("text").isNotNull()).select("unit", "doc_id", "text")
     answers = (
-        near.mapInArrow(_entries(known, window, buckets), ENTRY_SCHEMA).groupBy("bucket").applyInArrow(_answers, ANSWER_SCHEMA)
+        near.mapInArrow(_entries(known, bits, window, buckets), ENTRY_SCHEMA).groupBy("bucket").applyInArrow(_answers, ANSWER_SCHEMA)
     )
     mended = near.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_removed(window, texts), RESULT_SCHEMA)
     whole = table.filter(F.col("text").isNull()).select(mended.columns)

@@ -7,27 +7,44 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.session import durable, work_dir
 
-__all__ = ["FILTER_BITS", "bits_of", "durable", "free_name", "held", "key_filter", "rows_in_filter", "work_dir"]
+__all__ = [
+    "FILTER_BITS",
+    "durable",
+    "free_name",
+    "held",
+    "key_filter",
+    "only_rows",
+    "rows_in_filter",
+    "small_batches",
+    "without_rows",
+    "work_dir",
+]
 
 #: A filter is 8 MB, whatever the number of its keys. With more keys it lets more rows through
 #: that are not meant; it never keeps back one that is.
 FILTER_BITS = 26
+#: Each key sets so many bits, whose places are parts of the key.
+PARTS = 4
+
+
+def _shifts(bits: int) -> list[int]:
+    return [(64 - bits) * i // (PARTS - 1) for i in range(PARTS)]
 
 
 def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadcast:
-    """A set of long keys as 2**bits bits: a key sets the bit of its top bits.
+    """A set of long keys as 2**bits bits.
 
     Keys must be spread over all values of a long, as hashes are. At most 2**(bits - 6) rows
     reach the driver, whatever the number of keys.
     """
-    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    parts = [F.shiftrightunsigned(F.col(column), s).bitwiseAND(2**bits - 1) for s in _shifts(bits)]
     words = (
-        keys.select(place.alias("place"))
+        keys.select(F.explode(F.array(*parts)).alias("place"))
         .select(
             F.shiftright("place", 6).cast("int").alias("word"),
             F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"),
@@ -41,14 +58,16 @@ def key_filter(keys: DataFrame, column: str, bits: int = FILTER_BITS) -> Broadca
     return keys.sparkSession.sparkContext.broadcast(table)
 
 
-def bits_of(table: np.ndarray) -> int:
-    return int(table.size).bit_length() - 1 + 6
-
-
 def held(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the keys (unsigned) may be in the set."""
-    place = keys >> np.uint64(64 - bits_of(table))
-    return (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    bits = int(table.size).bit_length() - 1 + 6
+    found = np.ones(len(keys), dtype=bool)
+    for shift in _shifts(bits):
+        # later parts are looked up for the keys that are still in question
+        at = np.flatnonzero(found)
+        place = (keys[at] >> np.uint64(shift)) & np.uint64(2**bits - 1)
+        found[at] = (table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -75,3 +94,26 @@ def rows_in_filter(df: DataFrame, column: str, found: Broadcast, wanted: bool =
     of xxhash64 values. Done before a join, it keeps most other rows out of the shuffle."""
     hashed = df.withColumn(free_name(df, "key_of_row"), F.xxhash64(column))
     return hashed.mapInArrow(_by_filter(found, wanted), df.schema)
+
+
+def _filter_of(ids: DataFrame, column: str) -> Broadcast:
+    return key_filter(ids.select(F.xxhash64(column).alias("hash")), "hash")
+
+
+def without_rows(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose ``column`` is none of ``ids``. Only rows that a filter of the ids lets
+    through are shuffled for the exact test; the others stay where they are."""
+    found = _filter_of(ids, column)
+    tested = rows_in_filter(df, column, found).join(ids, column, "left_anti").select(df.columns)
+    return rows_in_filter(df, column, found, wanted=False).unionByName(tested)
+
+
+def only_rows(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose ``column`` is one of ``ids``; see ``without_rows``."""
+    found = rows_in_filter(df, column, _filter_of(ids, column))
+    return found.join(ids, column, "left_semi").select(df.columns)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows at a time between Spark and Python than is usual: these rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
