@@ -15,7 +15,7 @@ from shelfmark.llm.near_copies import keep_one_of_each
 from shelfmark.llm.packing import pack
 from shelfmark.llm.personal_data import sanitise
 from shelfmark.llm.vocabulary import tokenizer_path
-from shelfmark.llm.work import durable
+from shelfmark.llm.work import durable, without_rows
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without_rows(docs, durable(found.select("doc_id").distinct()), "doc_id")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.words import U64, ngram_hashes, ngram_starts, word_slices
-from shelfmark.llm.work import held, key_filter, rows_in_filter
+from shelfmark.llm.work import durable, held, key_filter, rows_in_filter, small_batches
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -137,6 +137,7 @@ def contaminated(
     Null texts are empty; rows with a null id take no part. Rows that share an id give one row
     per pair, with the most shared. Empty tables give no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     texts = docs.filter(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("doc_text")
     )
@@ -148,7 +149,7 @@ def contaminated(
     load = 2 * MISS ** (1 / (containment * smallest))
     finer = max(0, math.ceil(-math.log2(load)))
     sketches = texts.mapInArrow(_sketch(width, finer, key_filter(index, "shingle")), SKETCH_SCHEMA)
-    pairs = sketches.join(index, "shingle").select("doc_id", "item_id").distinct()
+    pairs = durable(sketches.join(index, "shingle").select("doc_id", "item_id").distinct())
     named = pairs.withColumn("hash", F.xxhash64("doc_id"))
     likely = rows_in_filter(texts, "doc_id", key_filter(named, "hash"))
     return (

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.work import small_batches
+
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 SMOOTHING = 0.5
@@ -118,6 +120,7 @@ def train(labelled: DataFrame, max_languages: int = MAX_LANGUAGES) -> LanguageMo
     The counts of a language are a row per hash bucket, so what reaches the driver is bounded
     by the number of languages, of which more than ``max_languages`` are refused.
     """
+    small_batches(labelled.sparkSession)
     counted = (
         labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text"))
         .filter(F.col("lang").isNotNull())
@@ -125,10 +128,10 @@ def train(labelled: DataFrame, max_languages: int = MAX_LANGUAGES) -> LanguageMo
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
     )
-    found = counted.filter(F.col("bucket") == 2**BUCKET_BITS).select("lang").limit(max_languages + 1).toArrow()
-    if found.num_rows > max_languages:
+    # A row more than that many languages can have, so that more of them show.
+    table = counted.limit(max_languages * (2**BUCKET_BITS + 1) + 1).toArrow()
+    if len(table["lang"].unique()) > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn")
-    table = counted.toArrow()
     return model_of(table["lang"].to_pylist(), table["bucket"].to_numpy(), table["n"].to_numpy())
 
 
@@ -195,6 +198,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs, unchanged, whose language is known with at least ``min_score``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text_at = docs.columns.index("text")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.words import mix
+from shelfmark.llm.work import small_batches
 
 SEQUENCE = 2048
 GROUP_DOCUMENTS = 4096
@@ -163,6 +164,7 @@ def pack(
 
     ``tokenizer_path`` names a byte-level BPE file that every executor can read.
     """
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_documents))
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("task"))
     pieces = named.mapInArrow(_pieces(tokenizer_path, end_id, groups, sequence), PIECES_SCHEMA)
