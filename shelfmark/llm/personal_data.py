@@ -3,8 +3,10 @@
 An entity is a value that the patterns find (an address, a number). How much a term of the same
 text discloses of it is the pointwise mutual information of the two over all documents, as a
 share of the entity's own information: 1 where the term stands only with the entity, 0 where it
-is as frequent as anywhere. Terms at or above one threshold are generalised, at or above a higher
-one removed, in the documents that hold the entity.
+is as frequent as anywhere. The share is lowered by the odds that the two met by chance: even for
+a pair seen in one text, and smaller by the entity's frequency for every further text. Terms at or
+above one threshold are generalised, at or above a higher one removed, in the documents that hold
+the entity.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from shelfmark.llm.work import durable, free_name, held, key_filter, rows_in_fil
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 GENERALISE = 0.9
 REMOVE = 0.99
-MIN_TEXTS = 3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -168,51 +169,51 @@ class Disclosures:
     found: DataFrame
 
 
-def disclosures(
-    docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS
-) -> Disclosures:
+def disclosures(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> Disclosures:
     """Base spans by row, and the spans of terms that disclose an entity, by text.
 
-    A term is weighed against an entity if they stand together in at least ``min_texts``
-    different texts; all counts are of documents, over the whole corpus.
+    Every term is weighed against every entity of its texts; all counts are of documents, over
+    the whole corpus. Of N documents e hold the entity, t the term and b both, in d different
+    texts; the share is ``log(b * N / (t * e * (1 + (e / N) ** (d - 1)))) / log(N / e)``. As b is
+    at most e, a pair with ``t > e * (N / e) ** (1 - generalise)`` cannot reach the threshold, and
+    is dropped before the joint counts. An entity of all documents has nothing to disclose.
     """
     small_batches(docs.sparkSession)
     rows = _whole(docs)
     base = durable(rows.mapInArrow(_base, BASE_SCHEMA))
     total = base.count()
-    by_text = (
+    by_text = durable(
         base.filter(F.size("entities") > 0)
         .select("text_key", F.explode("entities").alias("entity"))
         .groupBy("text_key", "entity")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    entities = durable(
-        by_text.groupBy("entity")
-        .agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts"))
-        .filter((F.col("texts") >= min_texts) & (F.col("n_entity") < total))
-        .select("entity", "n_entity")
-    )
-    held_in = durable(by_text.join(entities, "entity").select("text_key", "entity", "copies"))
+    entities = by_text.groupBy("entity").agg(F.sum("copies").alias("n_entity")).filter(F.col("n_entity") < total)
+    held_in = durable(by_text.join(entities, "entity").select("text_key", "entity", "copies", "n_entity"))
     wanted = key_filter(held_in.select(F.xxhash64("text_key").alias("hash")), "hash")
     likely = rows_in_filter(rows.select("text_key", "text"), "text_key", wanted)
     texts = durable(likely.groupBy("text_key").agg(F.first("text").alias("text")))
     text_terms = durable(texts.mapInArrow(_text_terms, "text_key string, terms array<string>"))
-    pairs = text_terms.join(held_in, "text_key").select("text_key", "entity", "copies", F.explode("terms").alias("term"))
-    joint = durable(
-        pairs.groupBy("term", "entity")
-        .agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"))
-        .filter(F.col("texts") >= min_texts)
-    )
+    text_terms = text_terms.select("text_key", F.explode("terms").alias("term"))
     crc = F.crc32(F.col("term").cast("binary"))
     term_key = crc.bitwiseOR(F.shiftleft(crc, 32))
-    known = key_filter(joint.select(term_key.alias("hash")), "hash")
+    known = key_filter(text_terms.select(term_key.alias("hash")), "hash")
     n_term = rows.select("text").mapInArrow(_count_known(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    told = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    share = told / F.log(F.lit(float(total)) / F.col("n_entity"))
+    corpus, n_entity = F.lit(float(total)), F.col("n_entity")
+    most = n_entity * F.pow(corpus / n_entity, F.lit(1 - generalise))
+    pairs = durable(
+        text_terms.join(n_term, "term").join(held_in, "text_key").filter(F.col("n_term") <= most * (1 + 1e-9))
+    )
+    joint = pairs.groupBy("term", "entity").agg(
+        F.sum("copies").alias("n_both"),
+        F.count(F.lit(1)).alias("texts"),
+        F.first("n_term").alias("n_term"),
+        F.first("n_entity").alias("n_entity"),
+    )
+    chance = 1 + F.pow(n_entity / corpus, F.col("texts") - 1)
+    told = F.log(F.col("n_both") * corpus / (F.col("n_term") * n_entity * chance))
     telling = durable(
-        joint.join(n_term, "term")
-        .join(entities, "entity")
-        .withColumn("share", share)
+        joint.withColumn("share", told / F.log(corpus / n_entity))
         .filter(F.col("share") >= generalise)
         .select("term", "entity", F.when(F.col("share") >= remove, KINDS[5]).otherwise(KINDS[4]).alias("kind"))
     )
@@ -227,9 +228,7 @@ def disclosures(
     return Disclosures(base, durable(found.mapInArrow(_term_spans, f"text_key string, found {SPAN}")))
 
 
-def find_personal_data(
-    docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS
-) -> DataFrame:
+def find_personal_data(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``doc_id``, ``base`` (spans of the patterns) and ``spans`` (these and the disclosing terms),
     each an array of (kind, start, end) in code points by start, then kind.
 
@@ -237,7 +236,7 @@ def find_personal_data(
     null doc_id stays null. Documents without a base span have none of the method's either. An
     empty table gives no rows; other columns are ignored.
     """
-    told = disclosures(docs, generalise, remove, min_texts)
+    told = disclosures(docs, generalise, remove)
     none = F.array().cast(SPAN)
     both = told.base.join(told.found, "text_key", "left")
     return both.select("doc_id", "base", in_order(F.concat("base", F.coalesce("found", none))).alias("spans"))
@@ -299,10 +298,10 @@ def _sanitise(text_at: int, chars_at: int | None, found_at: int | None):
     return sanitise
 
 
-def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """The rows and columns of docs, with personal data and disclosing terms replaced in ``text``,
     and ``n_chars``, if it is a column, counted anew where the text has changed."""
-    told = disclosures(docs, generalise, remove, min_texts)
+    told = disclosures(docs, generalise, remove)
     text_at = docs.columns.index("text")
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     key, more = free_name(docs, "key_of_text"), free_name(docs, "found_in_text")

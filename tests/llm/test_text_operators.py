@@ -181,6 +181,45 @@ def test_disclosing_terms(spark):
     assert not next(spans for i, spans in want if i == 201)
 
 
+def weighed(rows):
+    """Kind by document and term, from the formula of the docstring, by dictionaries over all rows."""
+    texts = [t or "" for _, t in rows]
+    held, stand = {}, {}
+    for j, t in enumerate(texts):
+        for k, _, _, value in base_spans(t):
+            held.setdefault((k, value), set()).add(j)
+        for w, _, _ in terms(t):
+            stand.setdefault(w, set()).add(j)
+    n, out = len(rows), {}
+    for docs in held.values():
+        for w, at in stand.items():
+            both = docs & at
+            if both and len(docs) < n:
+                chance = 1 + (len(docs) / n) ** (len({texts[j] for j in both}) - 1)
+                share = math.log(len(both) * n / (len(at) * len(docs) * chance)) / math.log(n / len(docs))
+                if share >= GENERALISE:
+                    for j in both:
+                        kind = "removed" if share >= REMOVE else "generalised"
+                        out[rows[j][0], w] = max(out.get((rows[j][0], w), ""), kind)
+    return out
+
+
+def test_values_of_one_or_two_texts(spark):
+    """Values seldom stand in many documents; what stands only beside them gives them away."""
+    rows = [(i, "the report about gardening is sent by the office") for i in range(1500)]
+    rows += [(2000, "ask Quetzal about gardening: quiet@home.net"), (2001, "ask the office: 10.1.2.3")]
+    rows += [(2100 + i, f"report by Xochitl about the office {w} +1 (555) 123-4567") for i, w in enumerate(("one", "two"))]
+    got = {}
+    for r in find_personal_data(documents(spark, rows)).collect():
+        for kind, a, b in r.spans:
+            if kind in KINDS[4:]:
+                got[r.doc_id, dict(rows)[r.doc_id][a:b].lower()] = kind
+    assert got == weighed(rows)
+    assert got[2000, "quetzal"] == "generalised"
+    assert got[2100, "xochitl"] == got[2101, "xochitl"] == "removed"
+    assert not {w for _, w in got} & {"the", "office", "report", "gardening", "ask"}
+
+
 def test_sanitised_rows(spark):
     rows = [(i, f"Zanzibar{'xyz'[i]} Zanzibar met x@y.org here") for i in range(3)]
     rows += [(10 + i, prose(i, 30)) for i in range(50)] + [*odd_rows(), (99, "+14155550100")]
