@@ -9,12 +9,13 @@ from shelfmark.llm.words import U64, Words, mix, ngram_hashes, ngram_starts, occ
 PLACE_BITS = 30
 
 
-def order_sketches(words: Words, k: int, picked: int, sketches: int) -> np.ndarray:
+def order_sketches(words: Words, k: int, picked: int, sketches: int, skipped: int = 0) -> np.ndarray:
     """One key per row and sketch: the ``picked`` least k-mers under that sketch's order,
     read in the order in which they stand in the text.
 
     A k-mer's label is the number of its earlier occurrences in the same text. A row of fewer
-    than k words counts as one k-mer (none if it is empty).
+    than k words counts as one k-mer (none if it is empty). ``skipped`` orders are passed over,
+    so that these sketches are drawn apart from the first ones.
     """
     starts = ngram_starts(words, k)
     kmers = ngram_hashes(words.hashes, k)[starts]
@@ -46,7 +47,7 @@ def order_sketches(words: Words, k: int, picked: int, sketches: int) -> np.ndarr
     low = U64(2**PLACE_BITS - 1)
     none = U64(2**64 - 1)
     rng = np.random.default_rng(20190801)
-    draws = rng.integers(0, 2**63, size=(sketches, 2), dtype=np.uint64)
+    draws = rng.integers(0, 2**63, size=(skipped + sketches, 2), dtype=np.uint64)[skipped:]
     for s in range(sketches):
         values = mix_light(elements, draws[s])
         values = (values & ~low) | (place & low)
@@ -59,7 +60,7 @@ def order_sketches(words: Words, k: int, picked: int, sketches: int) -> np.ndarr
                 values[np.where(least == none, first, at)] = none
         least = np.stack(chosen, axis=1)
         places = np.sort(np.where(least == none, low, least & low), axis=1)
-        key = np.full(len(held), U64(s + 1), U64)
+        key = np.full(len(held), U64(skipped + s + 1), U64)
         for j in range(picked):
             real = places[:, j] != low
             at = first + np.where(real, places[:, j], 0).astype(np.int64)
