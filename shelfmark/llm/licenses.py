@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: What separates words in lower-cased text: ASCII other than letters and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
+#: Stands for the end of a line among words; no separator.
+BREAK = "␤"
 
 # The phrases and labels of the base scan.
 PHRASES = {
@@ -110,12 +112,16 @@ def license_blocks(
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     containment: float = CONTAINMENT,
     separator: str = "\n",
+    wrapped: bool = False,
 ) -> DataFrame:
     """Every (text block, template) of which the block holds at least the share ``containment``
     of the template's distinct words: ``doc_id``, ``row_key``, ``block_no``, ``label``,
     ``template_no``, ``containment``.
 
-    Blocks are what stands between ``separator`` in a text. All words are ordered by their
+    Blocks are what stands between ``separator`` in a text. With ``wrapped`` there is one more
+    around every separator, with a null ``block_no``: the words before and after it, on each side
+    as many as the longest template has, divided by ``containment``. So a sentence is found over
+    however many lines it runs, also with foreign words (comment marks) in it. All words are ordered by their
     frequency in the corpus, rare ones first; words of no template cannot add to an overlap and
     are left out of the sets. A block can reach the overlap needed only if its first words by
     that order meet the template's first words (prefix filter), if it has enough words (length
@@ -150,11 +156,9 @@ def license_blocks(
         lowered(F.col("text")).alias("low"),
     )
     any_first = "|".join(sorted(first_words)) or r"(?!)"
-    lines = (
-        lines.filter(F.col("low").rlike(any_first))
-        .select("doc_id", "row_key", F.posexplode(F.split("low", separator)).alias("block_no", "line"))
-        .filter(F.col("line").rlike(any_first))
-    )
+    texts = lines.filter(F.col("low").rlike(any_first))
+    lines = texts.select("doc_id", "row_key", F.posexplode(F.split("low", separator)).alias("block_no", "line"))
+    lines = lines.filter(F.col("line").rlike(any_first))
     blocks = lines.select(
         "doc_id",
         "row_key",
@@ -165,6 +169,10 @@ def license_blocks(
             )
         ).alias("block"),
     )
+    if wrapped and table:
+        longest = max(len(_plain_words(text)) for _, text in templates)
+        around = _around_breaks(texts, separator, ranked, math.ceil(longest / containment), min(row[3] for row in table))
+        blocks = blocks.unionByName(around)
     room = F.least(F.col("size") - F.col("at"), F.size("block") - F.col("place"))
     pairs = (
         blocks.select("*", F.posexplode("block").alias("place", "token"))
@@ -190,6 +198,33 @@ def license_blocks(
     )
 
 
+def _around_breaks(texts: DataFrame, separator: str, ranked: Column, reach: int, least: int) -> DataFrame:
+    """The sorted ranks of ``reach`` words before and as many after each separator, where they
+    are at least ``least``; equal ones of a text once."""
+    def bound(value: Column, use) -> Column:
+        """``use(value)``, with the value computed once and not for each element of a loop."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def block(ranks: Column, place: Column) -> Column:
+        first = F.greatest(place - reach, F.lit(0))
+        near = F.slice(ranks, first + 1, place + reach - first)
+        return F.array_sort(F.array_distinct(F.filter(near, lambda r: r >= 0)))
+
+    def blocks(every: Column) -> Column:
+        marks = F.filter(F.transform(every, lambda w, i: F.when(w == BREAK, i)), lambda i: i.isNotNull())
+        places = F.array_distinct(F.transform(marks, lambda i, number: i - number))
+        ranks = F.transform(F.filter(every, lambda w: w != BREAK), lambda w: F.coalesce(ranked[w], F.lit(-1)))
+        found = bound(ranks, lambda r: F.transform(places, lambda place: block(r, place)))
+        return F.array_distinct(F.filter(found, lambda b: F.size(b) >= least))
+
+    every = F.filter(words_of(F.regexp_replace("low", separator, f" {BREAK} ")), lambda w: w != "")
+    return (
+        texts.filter(F.col("low").rlike(separator))
+        .select("doc_id", "row_key", F.explode(bound(every, blocks)).alias("block"))
+        .select("doc_id", "row_key", F.lit(None).cast("int").alias("block_no"), "block")
+    )
+
+
 def _local(spark: SparkSession, rows: list[tuple], types: dict[str, pa.DataType]) -> DataFrame:
     """A small literal table, whose size the planner knows."""
     columns = zip(*rows, strict=True) if rows else [()] * len(types)
@@ -209,12 +244,13 @@ def scan_licenses(
     containment: float = CONTAINMENT,
 ) -> DataFrame:
     """Both scans, one row per document: ``doc_id``, ``n_words``, ``places``, ``template_labels``
-    (distinct) and ``containment``, the best of its blocks (0 if none is found).
+    (distinct) and ``containment``, the best of its blocks (0 if none is found). Blocks are lines,
+    and the words around every line's end.
 
     Null texts are empty; rows that share id and text give equal rows; a null doc_id stays null.
     """
     found = (
-        license_blocks(docs, templates, containment)
+        license_blocks(docs, templates, containment, wrapped=True)
         .groupBy(F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_row"))
         .agg(F.collect_set("label").alias("template_labels"), F.max("containment").alias("containment"))
     )

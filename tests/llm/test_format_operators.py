@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -20,7 +21,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from shelfmark.llm.chat import END, format_conversations, prefix_targets, read_turns, unescaped
-from shelfmark.llm.licenses import license_blocks, scan_licenses
+from shelfmark.llm.licenses import TEMPLATES, license_blocks, scan_licenses
 from shelfmark.llm.packing import Encoder, first_fit_decreasing, pack
 from shelfmark.llm.packing_queries import op9_pack_first_fit
 from shelfmark.llm.personal_data import base_spans, sanitised
@@ -199,6 +200,22 @@ def test_phrases(spark):
     assert scan_licenses(empty).collect() == []
 
 
+def test_wrapped_templates(spark):
+    """Every template, wrapped at several widths and behind comment marks, between other lines."""
+    rows = []
+    for label, text in TEMPLATES:
+        for width in (8, 25, 72):
+            for mark in ("", " * ", "# \n# "):
+                lines = [mark + line for line in textwrap.wrap(text, width, break_long_words=False)]
+                rows.append((len(rows), label, "\n".join(["/* Copyright", "", *lines, "", "import os"])))
+    found = scan_licenses(documents(spark, [(i, t) for i, _, t in rows])).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
+    assert all(label in got[i].template_labels and got[i].containment == 1 for i, label, _ in rows)
+    apart = [(1, "\n".join(" filler" * 60 + " " + w for w in TEMPLATES[0][1].split()))]
+    assert [r.template_labels for r in scan_licenses(documents(spark, apart)).collect()] == [[]]
+
+
 # Pipeline
 
 
