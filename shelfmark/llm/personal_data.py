@@ -118,6 +118,12 @@ def terms(text: str) -> Iterator[tuple[str, int, int]]:
             yield found.group().lower(), start, end
 
 
+def term_set(text: str) -> set[str]:
+    if base_spans(text):
+        return {t for t, _, _ in terms(text)}
+    return {t.lower() for t in _TERM.findall(text)}
+
+
 def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -127,13 +133,13 @@ def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_known(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents per term, of the terms that may be in the filter."""
+    """Documents per term, of the terms that may be in the filter; base spans hold no terms."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[str] = Counter()
             for text in batch.column(0):
-                found = list({t.lower() for t in _TERM.findall(text.as_py())})
+                found = list(term_set(text.as_py()))
                 if found:
                     keys = np.fromiter((crc32(t.encode()) for t in found), np.uint64, len(found))
                     keys |= keys << np.uint64(32)

@@ -220,6 +220,19 @@ def test_values_of_one_or_two_texts(spark):
     assert not {w for _, w in got} & {"the", "office", "report", "gardening", "ask"}
 
 
+def test_names_inside_addresses_are_not_counted(spark):
+    """A name that is part of its address too is counted where it stands plainly, as all counts are."""
+    rows = [(i, f"the report {i} is sent by the office") for i in range(1000)]
+    rows += [(2000 + i, f"the report {i} by zanzibar@y.org") for i in range(17)]
+    rows += [(2100 + i, f"the report {i} by Zanzibar zanzibar@y.org") for i in range(3)]
+    got = {}
+    for r in find_personal_data(documents(spark, rows)).collect():
+        for kind, a, b in r.spans:
+            if kind in KINDS[4:]:
+                got[r.doc_id, dict(rows)[r.doc_id][a:b].lower()] = kind
+    assert got == weighed(rows) == {(2100 + i, "zanzibar"): "removed" for i in range(3)}
+
+
 def test_sanitised_rows(spark):
     rows = [(i, f"Zanzibar{'xyz'[i]} Zanzibar met x@y.org here") for i in range(3)]
     rows += [(10 + i, prose(i, 30)) for i in range(50)] + [*odd_rows(), (99, "+14155550100")]
