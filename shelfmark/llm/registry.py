@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfmark.llm import (
     chat_queries,
+    collocation_queries,
     contamination_queries,
     embedding_queries,
     language_queries,
@@ -27,6 +28,7 @@ MODULES = (
     quality_queries,
     repeat_queries,
     license_queries,
+    collocation_queries,
 )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from shelfmark.session import durable, work_dir
 
 __all__ = [
     "FILTER_BITS",
+    "batches_of_bytes",
     "durable",
     "free_name",
     "held",
@@ -117,3 +119,24 @@ def only_rows(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows at a time between Spark and Python than is usual: these rows hold whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+@contextmanager
+def batches_of_bytes(spark: SparkSession, size: int = 16 * 2**20, rows: int = 10_000) -> Iterator[None]:
+    """Batches between Spark and Python of at most so many bytes and rows (one row at least), for
+    what is written inside; the session's own settings come back after it."""
+    wanted = {
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(size),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
