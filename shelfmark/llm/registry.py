@@ -14,6 +14,7 @@ from shelfmark.llm import (
     personal_data_queries,
     quality_queries,
     repeat_queries,
+    secret_queries,
     whitening_queries,
 )
 from shelfmark.plans.registry import Query
@@ -30,6 +31,7 @@ MODULES = (
     repeat_queries,
     license_queries,
     collocation_queries,
+    secret_queries,
     whitening_queries,
 )
 

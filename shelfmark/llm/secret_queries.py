@@ -1,0 +1,27 @@
+"""Registered query of the search for secrets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.llm.personal_data import told_spans
+from shelfmark.llm.secrets import KINDS, find_secrets
+from shelfmark.plans.registry import Query
+
+
+def op12_zstd_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find_secrets(docs).select(
+        "doc_id",
+        *[count(kind) for kind in KINDS[:3]],
+        F.sha2(told_spans(F.col("base")), 256).alias("base_sha256"),
+        told_spans(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {"op12_zstd_novelty": Query(op12_zstd_novelty)}
