@@ -28,7 +28,9 @@ from shelfmark.llm.work import batches_of_bytes, durable, held, key_filter
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
-SHARD_BYTES = 4 * 2**20
+SHARD_BYTES = 2 * 2**20
+#: Rows that go to Spark at once.
+OUT_ROWS = 2**16
 NO_LANGUAGE = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -152,14 +154,17 @@ def _longer(filters: list[Broadcast]) -> Callable[[Iterator[pa.RecordBatch]], It
                         keep[keep] = held(tables[known], _joined([c[keep] for c in columns]))
                     phrases = phrases.only(keep)
                 n = len(phrases.size)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column(0)[i].as_py()] * n, pa.string()),
-                        *(pa.array(c[keep].view(np.int64)) for c in columns),
-                        pa.array(phrases.size),
-                    ],
-                    names=["lang", *_names(length + 1), "n"],
-                )
+                lang, columns = batch.column(0)[i].as_py(), [c[keep].view(np.int64) for c in columns]
+                for at in range(0, n, OUT_ROWS):
+                    some = slice(at, at + OUT_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * min(OUT_ROWS, n - at), pa.string()),
+                            *(pa.array(c[some]) for c in columns),
+                            pa.array(phrases.size[some]),
+                        ],
+                        names=["lang", *_names(length + 1), "n"],
+                    )
 
     return count
 
@@ -184,7 +189,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     64 bits of hash, per language.
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    with batches_of_bytes(docs.sparkSession):
+    with batches_of_bytes(docs.sparkSession, 4 * 2**20):
         shards = durable(rows.mapInArrow(_shards, SHARD_SCHEMA))
     totals = shards.groupBy("lang").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")
@@ -199,7 +204,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     grams = words.select("lang", F.col("key").alias("w1"), "a")
     known = [grams]
     filters = [_filter(grams, 1)]
-    with batches_of_bytes(docs.sparkSession, rows=8):
+    with batches_of_bytes(docs.sparkSession, rows=1):
         for length in range(2, max_words + 1):
             names = _names(length)
             found = shards.select("lang", "keys", "ids").mapInArrow(
