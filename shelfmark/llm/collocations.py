@@ -80,13 +80,18 @@ def _encode(lang: str, offsets: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs = batch.column(0).fill_null(NO_LANGUAGE).dictionary_encode()
-        for code, lang in enumerate(langs.dictionary.to_pylist()):
-            texts = batch.column(1).filter(pa.compute.equal(langs.indices, code))
-            for _, offsets, data in text_slices(texts, SHARD_BYTES):
-                yield _encode(lang, offsets, data)
+def _shards(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Encode texts in shards of one language and about ``size`` bytes each."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(0).fill_null(NO_LANGUAGE).dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                texts = batch.column(1).filter(pa.compute.equal(langs.indices, code))
+                for _, offsets, data in text_slices(texts, size):
+                    yield _encode(lang, offsets, data)
+
+    return encode
 
 
 def _joined(columns: list[np.ndarray]) -> np.ndarray:
@@ -114,6 +119,8 @@ def _collapsed(ids: np.ndarray) -> np.ndarray:
 
 def _left_in(ids: np.ndarray, keys: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
     """The sequence without what stands in no frequent phrase of the lengths that are known."""
+    if not len(keys):
+        return np.zeros(1, ids.dtype)
     ids = _collapsed(np.where(held(filters[0], mix(keys))[ids - 1] & (ids > 0), ids, 0))
     for length, table in enumerate(filters[1:], 2):
         if len(ids) < length:
@@ -180,7 +187,9 @@ def _filter(grams: DataFrame, length: int) -> Broadcast:
     return key_filter(hashes, "hash", bits)
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(
+    docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, shard_bytes: int = SHARD_BYTES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three tables: (lang, n), the number of words; (lang, key, word), the words that occur at least
     ``min_count`` times; (lang, words, a), all phrases of up to ``max_words`` words that do, as
     lists of word keys, single words included.
@@ -190,7 +199,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     """
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     with batches_of_bytes(docs.sparkSession, 4 * 2**20):
-        shards = durable(rows.mapInArrow(_shards, SHARD_SCHEMA))
+        shards = durable(rows.mapInArrow(_shards(shard_bytes), SHARD_SCHEMA))
     totals = shards.groupBy("lang").agg(
         F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")
     )
@@ -223,7 +232,11 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
 
 
 def collocations(
-    docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, top: int = TOP
+    docs: DataFrame,
+    min_count: int = MIN_COUNT,
+    max_words: int = MAX_WORDS,
+    top: int = TOP,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """The phrases of 2 to ``max_words`` words whose parts attract each other most, per language.
 
@@ -236,7 +249,7 @@ def collocations(
     Null texts are empty, a null language is ``und``. Repeated rows count as often as they stand; an
     empty table, or one without a frequent phrase, gives no rows; other columns are ignored.
     """
-    totals, words, phrases = frequent_phrases(docs, min_count, max_words)
+    totals, words, phrases = frequent_phrases(docs, min_count, max_words, shard_bytes)
     candidates = phrases.filter(F.size("words") > 1)
     longer = candidates.filter(F.size("words") > 2)
     last = F.size("words") - 1

@@ -28,7 +28,7 @@ class _Rows:
         known = 1
         while known < depth:
             later = np.zeros(n, np.int64)
-            later[: n - known] = rank[known:]
+            later[: max(n - known, 0)] = rank[known:]
             key = rank * (int(rank.max(initial=0)) + 1) + later
             order = np.argsort(key)
             ranked = key[order]

@@ -42,16 +42,17 @@ _HINTS = (
 )
 
 REACH = 64
-MIN_CHARS = 12
+MIN_CHARS = 16
 CONTEXT = 256
 #: A reported string costs so many bytes for each of its characters, and these more, which any
 #: string costs that stands in the way.
-BYTES_A_CHARACTER = 0.72
-BYTES_OF_ANY = 4
+BYTES_A_CHARACTER = 0.75
+BYTES_OF_ANY = 2
 DICTIONARY_WORDS = 4096
 DICTIONARY_BYTES = 32 * 2**10
-LEVEL = 12
-_RUN = re.compile(r"[A-Za-z0-9+/_.-]{12,}={0,2}")
+LEVEL = 19
+MIN_MATCH = 3
+_RUN = re.compile(r"[A-Za-z0-9+/_.-]{16,}={0,2}")
 _WORD = re.compile(r"[A-Za-z]{3,}")
 
 SPAN = "array<struct<kind:string,start:long,end:long>>"
@@ -186,20 +187,24 @@ class Novelty:
     """Marginal compressed sizes under one dictionary."""
 
     def __init__(self, dictionary: bytes):
-        options = {"level": LEVEL, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
+        parameters = zstandard.ZstdCompressionParameters.from_level(
+            LEVEL, min_match=MIN_MATCH, write_content_size=False, write_dict_id=False, write_checksum=False
+        )
+        held = None
         if len(dictionary) >= 8:
             held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            held.precompute_compress(level=LEVEL)
-            options["dict_data"] = held
-        self._compressor = zstandard.ZstdCompressor(**options)
+            held.precompute_compress(compression_params=parameters)
+        self._compressor = zstandard.ZstdCompressor(compression_params=parameters, dict_data=held)
 
     def _size(self, text: str) -> int:
         return len(self._compressor.compress(text.encode("utf-8", "replace")))
 
     def bytes_of(self, text: str, start: int, end: int) -> int:
-        """What text[start:end] adds to the compressed size of the text around it."""
-        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
-        return self._size(before + after + text[start:end]) - self._size(before + after)
+        """What text[start:end] adds to the compressed size of the text around it, in its place,
+        in front or behind: the least of the three, as single sizes depend on how blocks are cut."""
+        before, run, after = text[max(0, start - CONTEXT) : start], text[start:end], text[end : end + CONTEXT]
+        placed = (before + run + after, run + " " + before + after, before + after + " " + run)
+        return min(map(self._size, placed)) - self._size(before + after)
 
     def is_novel(self, text: str, start: int, end: int) -> bool:
         return self.bytes_of(text, start, end) >= BYTES_OF_ANY + BYTES_A_CHARACTER * (end - start)
@@ -233,10 +238,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     ``base`` holds the matches of the patterns: assignments to names such as ``password`` with a value
     of 8 or more characters, access keys of 16 or more, lower-case hexadecimal runs of 32 or
-    more. ``spans`` holds these and the strings of kind ``novel``: runs of 12 or more key characters
+    more. ``spans`` holds these and the strings of kind ``novel``: runs of 16 or more key characters
     of two kinds (small, capital, digit), outside base spans, that hold a sensitive word or
-    begin within 64 characters behind one, and whose marginal compressed size is at least 4 bytes
-    and 0.72 bytes a character, given 256 characters on either side and the dictionary of
+    begin within 64 characters behind one, and whose marginal compressed size is at least 2 bytes
+    and 0.75 bytes a character, given 256 characters on either side and the dictionary of
     identifiers of the whole table.
 
     Null texts are empty. Each row is judged by itself, so repeated rows and null ids give a row
