@@ -7,9 +7,10 @@ within a band, is at most ``1 - similarity`` of the longer text.
 
 Equal texts are one node from the start. The texts of a sketch are not expanded into all pairs:
 each is first aligned with the least text of one of its buckets, then with the least texts of
-all. What remains are pairs that are not connected by then; of these all that share a band of
-three sketches are aligned, which texts around a common passage rarely do. Bands have sketches
-of their own, none of them twice, which are made only for the texts in question.
+all. What remains are pairs of a bucket that are not connected by then. In a small bucket these
+are aligned as they are. In a larger one, as a common passage makes it, texts meet only if they
+also share one of their rarest words: two texts within the distance have most words in common,
+so each of them must have a common word among a few of its own, in any order of the words.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.alignment import near
 from shelfmark.llm.components import components
 from shelfmark.llm.order_sketch import order_sketches
-from shelfmark.llm.words import U64, Words, mix, word_slices
+from shelfmark.llm.words import U64, Words, mix, occurrences, word_slices
 from shelfmark.llm.work import (
     durable,
     key_filter,
@@ -35,13 +37,15 @@ from shelfmark.llm.work import (
 )
 
 SHINGLE = 5
-PICKED = 3
-SKETCHES = 24
-BANDS = 48
-BAND_SKETCHES = 3
+PICKED = 2
+SKETCHES = 64
 SIMILARITY = 0.8
+#: Buckets of up to so many texts are joined with themselves as they are.
+SMALL_BUCKET = 16
+#: Words are ordered by counts in so many slots, then by hash: any order serves, if all share it.
+COUNT_SLOTS = 2**18
 SKETCH_SCHEMA = "doc_id long, key_a long, key_b long, n_words long, sketches array<long>"
-BAND_SCHEMA = "node long, n long, bands array<long>"
+RARE_SCHEMA = "node long, n long, rare array<long>"
 EDGE_SCHEMA = "a long, b long"
 
 
@@ -80,30 +84,55 @@ def _sketch(k: int, picked: int, sketches: int) -> Callable[[Iterator[pa.RecordB
     return sketch
 
 
-def _bands(k: int, picked: int, skipped: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Keys of the bands of each text with words; the first ``skipped`` sketches are not used again."""
+def _labelled(words: Words) -> np.ndarray:
+    """A hash of each word with the number of its earlier occurrences in the same text."""
+    labels = occurrences(mix(words.hashes ^ mix(words.doc.astype(U64) + U64(1))))
+    return mix(words.hashes + labels.astype(U64) * U64(0xD1B54A32D192ED03))
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(COUNT_SLOTS, np.int64)
+    for batch in batches:
+        for words in word_slices(batch.column(1)):
+            counts += np.bincount((_labelled(words) % U64(COUNT_SLOTS)).astype(np.int64), minlength=COUNT_SLOTS)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
+def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rarest words of each text, as many as it may differ in from a text it is linked to,
+    and one more."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_slices(batch.column(1)):
-                sketches = order_sketches(words, k, picked, BANDS * BAND_SKETCHES, skipped)
-                sketches = sketches.reshape(words.rows, BANDS, BAND_SKETCHES)
-                keys = np.zeros((words.rows, BANDS), U64) + np.arange(1, BANDS + 1, dtype=U64)
-                for i in range(BAND_SKETCHES):
-                    keys = mix(keys * U64(0x2545F4914F6CDD1D) + sketches[:, :, i])
-                edges = np.arange(words.rows + 1, dtype=np.int32) * BANDS
-                counts = words.counts().astype(np.int64)
-                table = pa.RecordBatch.from_arrays(
+                keys = _labelled(words)
+                n = words.counts()
+                order = np.lexsort((keys, counts.value[(keys % U64(COUNT_SLOTS)).astype(np.int64)], words.doc))
+                place = np.arange(len(keys)) - words.offsets()[words.doc]
+                wanted = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+                keep = place < wanted[words.doc]
+                edges = np.concatenate([[0], np.cumsum(np.minimum(wanted, n))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first_row, words.rows),
-                        pa.array(counts),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.array(n.astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[order][keep].view(np.int64))),
                     ],
-                    names=["node", "n", "bands"],
+                    names=["node", "n", "rare"],
                 )
-                yield table.filter(pa.array(counts > 0))
 
-    return bands
+    return rarest
+
+
+def rare_words(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``node``, ``n`` and ``rare`` of a table (doc_id, text): the number of words and the hashes of
+    the rarest ones. Two texts whose word edit similarity reaches the threshold share one."""
+    counted = texts.mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNT_SLOTS, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    return texts.mapInArrow(_rarest(shared, similarity), RARE_SCHEMA)
 
 
 def _align(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -145,12 +174,10 @@ def near_copies(
     to it by links.
 
     Words are lower-cased and stand between blanks. Two texts are linked if their edit similarity
-    is at least ``similarity`` and they are candidates: they share one of ``sketches`` sketches of
-    ``picked`` k-mers, one of them being the least text that has it, or they share one of these
-    and one of 48 bands of three further sketches. Equal word sequences always are. With J the
-    share of common k-mers and p = ``J**picked``, a linkable pair is no candidate with probability
-    ``(1 - p)**sketches`` in the first case, and in the second with ``(1 - p**3)**48`` more:
-    0.00000003 and 0.001 for J = 0.8; for J = 0.6 it is 0.003 and 0.6. Null texts are empty, and
+    is at least ``similarity`` and they share one of ``sketches`` sketches of ``picked`` k-mers.
+    Equal word sequences always are. With J the share of common k-mers, a linkable pair shares
+    no sketch with probability ``(1 - J**picked)**sketches``; where a share w of the words is
+    changed at random places, J is about ``(1 - w)**k / (2 - (1 - w)**k)``. Null texts are empty, and
     texts without words are linked to nothing. Rows that share an id are one document. A row with
     a null id gets the class of its text's copies, or null; it links nothing. An empty table gives
     no rows; other columns are ignored.
@@ -204,10 +231,17 @@ def near_copies(
     labels = durable(components(edges))
 
     marked = with_labels(hits, "node", "label", labels).filter(F.col("node") != F.col("head"))
-    loose = durable(_apart(marked.select("key", "node", "label")).select("node", "label").distinct())
-    some = rows_in_filter(texts, "doc_id", key_filter(loose.select(F.xxhash64("node").alias("hash")), "hash"))
-    banded = some.mapInArrow(_bands(k, picked, sketches), BAND_SCHEMA).join(loose, "node")
-    left = durable(_apart(banded.select(F.explode("bands").alias("key"), "node", "n", "label")))
+    parted = durable(_apart(marked.select("key", "node", "n", "label")))
+    large = parted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SMALL_BUCKET).select("key")
+    large = durable(large)
+    met = parted.join(large, "key")
+    nodes_met = met.select(F.xxhash64("node").alias("hash")).distinct()
+    rare = rare_words(rows_in_filter(texts, "doc_id", key_filter(nodes_met, "hash")), similarity)
+    # A common passage is a hot key of this join; with one of its rarest words a text is not.
+    by_word = met.join(rare.select("node", F.explode("rare").alias("word")), "node").select(
+        F.xxhash64("key", "word").alias("key"), "node", "n", "label"
+    )
+    left = durable(parted.join(large, "key", "left_anti").select("key", "node", "n", "label").unionByName(_apart(durable(by_word))))
     right = left.toDF("key", "b", "m", "label_b")
     rest = (
         left.join(right, "key")
