@@ -31,8 +31,6 @@ TOP = 2000
 SHARD_BYTES = 2 * 2**20
 #: Rows that go to Spark at once.
 OUT_ROWS = 2**16
-#: Phrases of several shards are summed in the task when there are so many of them.
-HELD_ROWS = 2**19
 NO_LANGUAGE = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -138,62 +136,12 @@ def _left_in(ids: np.ndarray, keys: np.ndarray, filters: list[np.ndarray]) -> np
     return ids
 
 
-class _Sums:
-    """Counts of phrases, given as columns of word keys, over the shards of a task."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.langs: dict[str, int] = {}
-        self.held: list[list[np.ndarray]] = []
-        self.rows = 0
-
-    def add(self, lang: str, columns: list[np.ndarray], sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code = self.langs.setdefault(lang, len(self.langs))
-        self.held.append([*columns, np.full(len(sizes), code, np.int32), sizes])
-        self.rows += len(sizes)
-        if self.rows >= HELD_ROWS:
-            self._combine()
-            # Few distinct ones stay and take in what follows.
-            if self.rows >= HELD_ROWS // 2:
-                yield from self.all()
-
-    def _combine(self) -> None:
-        """Equal phrases become neighbours and one row. Two phrases of equal hash may keep a phrase
-        in two rows, which are summed later as all others are."""
-        parts = [np.concatenate(c) for c in zip(*self.held, strict=True)]
-        order = np.argsort(_joined(parts[: self.length]))
-        parts = [p[order] for p in parts]
-        fresh = np.zeros(len(order), dtype=bool)
-        fresh[:1] = True
-        for column in parts[: self.length]:
-            fresh[1:] |= column[1:] != column[:-1]
-        first = np.flatnonzero(fresh)
-        sums = np.add.reduceat(parts[-1], first) if len(first) else parts[-1]
-        self.held = [[*(p[first] for p in parts[:-1]), sums]]
-        self.rows = len(first)
-
-    def all(self) -> Iterator[pa.RecordBatch]:
-        if self.rows:
-            self._combine()
-            *columns, codes, sizes = self.held[0]
-            names = pa.array(list(self.langs), pa.string())
-            for at in range(0, self.rows, OUT_ROWS):
-                some = slice(at, at + OUT_ROWS)
-                lang = pa.DictionaryArray.from_arrays(pa.array(codes[some]), names).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [lang, *(pa.array(c[some].view(np.int64)) for c in columns), pa.array(sizes[some])],
-                    names=["lang", *_names(self.length), "n"],
-                )
-        self.held, self.rows = [], 0
-
-
 def _longer(filters: list[Broadcast]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Count the phrases one word longer than those of the last filter, shard by shard."""
     length = len(filters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [f.value for f in filters]
-        sums = _Sums(length + 1)
         for batch in batches:
             for i in range(batch.num_rows):
                 keys = batch.column(1)[i].values.to_numpy(False).view(U64)
@@ -212,8 +160,18 @@ def _longer(filters: list[Broadcast]) -> Callable[[Iterator[pa.RecordBatch]], It
                     if known < length:
                         keep[keep] = held(tables[known], _joined([c[keep] for c in columns]))
                     phrases = phrases.only(keep)
-                yield from sums.add(batch.column(0)[i].as_py(), [c[keep] for c in columns], phrases.size)
-        yield from sums.all()
+                n = len(phrases.size)
+                lang, columns = batch.column(0)[i].as_py(), [c[keep].view(np.int64) for c in columns]
+                for at in range(0, n, OUT_ROWS):
+                    some = slice(at, at + OUT_ROWS)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * min(OUT_ROWS, n - at), pa.string()),
+                            *(pa.array(c[some]) for c in columns),
+                            pa.array(phrases.size[some]),
+                        ],
+                        names=["lang", *_names(length + 1), "n"],
+                    )
 
     return count
 
