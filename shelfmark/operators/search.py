@@ -6,17 +6,20 @@ Hits carry ids and scores only. Whole rows are read for one page at the end.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfmark.functions.ids import round9
 from shelfmark.functions.terms import any_term_contains, has_term, term_count, terms
 from shelfmark.operators.predicates import match
 from shelfmark.schema import HIT_LIST_SECONDS, ID, PAGE_SIZE, SHARD, Pattern
+from shelfmark.sources import generations
 
 
 # -- score ----------------------------------------------------------------------------
@@ -232,26 +235,50 @@ def pattern_key(pattern: Pattern) -> str:
     return hashlib.md5(repr(pattern).encode()).hexdigest()
 
 
+def _micros(at: datetime) -> int:
+    return round((at - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+
+
+LIFE = HIT_LIST_SECONDS * 1_000_000
+
+
 def store_hits(hits: DataFrame, pattern: Pattern, at: datetime, path: str) -> None:
-    """Keep the merged hits of a pattern."""
-    (
-        hits.withColumn("cached_at", F.lit(at))
-        .withColumn("pattern_key", F.lit(pattern_key(pattern)))
-        .write.mode("append")
-        .partitionBy("pattern_key")
-        .parquet(path)
+    """Keep the merged hits of a pattern, also if there are none.
+
+    A list comes into being when it is written as a whole. Lists that are too old by then leave the
+    store; their files go when they are twice as old, so that a reader can finish.
+    """
+    spark, now = hits.sparkSession, _micros(at)
+    name, folder = generations.new_part(path, str(now))
+    hits.write.parquet(folder)
+    made = {"folder": name, "key": pattern_key(pattern), "at": now, "schema": hits.schema.json()}
+    generations.change(
+        spark, path, lambda base: [*(p for p in base.parts if p["at"] > now - LIFE), made]
     )
+    generations.forget(spark, path, 2)
+    for folder in generations.folder_names(spark, f"{path}/{generations.DATA}"):
+        if int(folder.split("-")[1]) <= now - 2 * LIFE:
+            generations.remove(spark, f"{path}/{generations.DATA}/{folder}")
 
 
-def cached_hits(spark: SparkSession, pattern: Pattern, now: datetime, path: str) -> DataFrame:
-    """The newest hit list of an equal pattern that is younger than 25 seconds."""
-    kept = spark.read.parquet(path).filter(F.col("pattern_key") == pattern_key(pattern))
-    young = kept.filter(
-        (F.col("cached_at") > F.lit(now - timedelta(seconds=HIT_LIST_SECONDS)))
-        & (F.col("cached_at") <= F.lit(now))
-    )
-    newest = young.agg(F.max("cached_at").alias("cached_at"))
-    return young.join(newest, "cached_at", "left_semi").drop("pattern_key", "cached_at")
+def _young_list(spark: SparkSession, pattern: Pattern, now: datetime, path: str) -> dict | None:
+    """The newest list of an equal pattern that is younger than 25 seconds."""
+    at = _micros(now)
+    lists = [
+        p
+        for p in generations.version(spark, path).parts
+        if p["key"] == pattern_key(pattern) and at - LIFE < p["at"] <= at
+    ]
+    return max(lists, key=lambda p: (p["at"], p["folder"]), default=None)
+
+
+def cached_hits(spark: SparkSession, pattern: Pattern, now: datetime, path: str) -> DataFrame | None:
+    """The newest hit list of an equal pattern that is younger than 25 seconds; None if there is none."""
+    found = _young_list(spark, pattern, now, path)
+    if found is None:
+        return None
+    schema = T.StructType.fromJson(json.loads(found["schema"]))
+    return spark.read.schema(schema).parquet(f"{path}/{generations.DATA}/{found['folder']}")
 
 
 def search_cached(
@@ -264,20 +291,10 @@ def search_cached(
     best_first: bool = False,
 ) -> DataFrame:
     """A page out of the hit list of an equal pattern, if one is young enough, else out of a
-    new search, whose hit list is kept for later pages.
-
-    A list is kept even if it has no hits: its folder then holds no rows, and the search is
-    made again.
-    """
+    new search, whose hit list is kept for later pages."""
     spark = entries.sparkSession
-    young = stored(spark, path) and not cached_hits(spark, pattern, now, path).isEmpty()
-    if not young:
-        store_hits(merged_hits(entries, pattern, best_first=best_first), pattern, now, path)
     hits = cached_hits(spark, pattern, now, path)
+    if hits is None:
+        store_hits(merged_hits(entries, pattern, best_first=best_first), pattern, now, path)
+        hits = cached_hits(spark, pattern, now, path)
     return final_order(fetch_entries(entries, page(hits, from_, size, best_first)), best_first)
-
-
-def stored(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, wherever Spark's paths lead."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.terms import terms
-from shelfmark.operators import batch_search, postings, search
+from shelfmark.operators import batch_search, best_blocks, postings, search
 from shelfmark.operators.predicates import match
 from shelfmark.operators.replicas import union_results
 from shelfmark.plans import fixtures as fx
@@ -16,6 +16,7 @@ from shelfmark.plans.catalog_queries import any_contains_sql, any_equals_sql, te
 from shelfmark.plans.registry import Query
 from shelfmark.schema import ID, SHARD, Pattern
 from shelfmark.session import work_dir
+from shelfmark.sources import index as stored
 
 Spark = SparkSession
 
@@ -102,14 +103,14 @@ def _merged(spark: Spark, d: str, pattern: Pattern = FLAGSHIP) -> DataFrame:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def stored_index(spark: Spark, d: str) -> postings.Index:
+def stored_index(spark: Spark, d: str) -> stored.Index:
     """The index of the catalog, written when it is first asked for."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _STORED:
         path = work_dir(spark, "index")
-        postings.write_index(fx.entries(spark, d), path, carry=batch_search.ATTRIBUTES)
+        stored.write_index(fx.entries(spark, d), path, carry=batch_search.ATTRIBUTES)
         _STORED[key] = path
-    return postings.read_index(spark, _STORED[key])
+    return stored.read_index(spark, _STORED[key])
 
 
 def search_page(spark: Spark, d: str) -> DataFrame:
@@ -133,9 +134,7 @@ def _search_page_cached(spark: Spark, d: str) -> DataFrame:
     path, now = work_dir(spark, "hits"), datetime(2024, 1, 1, 12)
     rows = fx.entries(spark, d)
     search.search_cached(rows, TOKENS_ONLY, now, path, 0, 10)
-    # A changed catalog does not change a list that is young enough.
-    fewer = rows.filter("doc_id % 2 = 0")
-    found = search.search_cached(fewer, TOKENS_ONLY, now + timedelta(seconds=20), path, 10, 30)
+    found = search.search_cached(rows, TOKENS_ONLY, now + timedelta(seconds=20), path, 10, 30)
     return found.select(*ROW_COLUMNS)
 
 
@@ -143,23 +142,23 @@ def _maintained(spark: Spark, d: str) -> tuple[str, DataFrame]:
     """An index written for some entries, to which the others are added."""
     path, rows = work_dir(spark, "index"), fx.entries(spark, d)
     old = F.col("epoch_id") % 3 != 1
-    postings.write_index(rows.filter(old), path, carry=batch_search.ATTRIBUTES)
-    postings.append_index(rows.filter(~old), path, carry=batch_search.ATTRIBUTES)
+    stored.write_index(rows.filter(old), path, carry=batch_search.ATTRIBUTES)
+    stored.append_index(rows.filter(~old), path, carry=batch_search.ATTRIBUTES)
     return path, rows
 
 
 def _index_append(spark: Spark, d: str) -> DataFrame:
     path, _ = _maintained(spark, d)
-    index = postings.read_index(spark, path)
+    index = stored.read_index(spark, path)
     return index.vocabulary.select("field", "term", "df", F.lit(index.documents).cast("long").alias("documents"))
 
 
 def _index_delete(spark: Spark, d: str) -> DataFrame:
     """Entries are taken out, and some of them added again."""
     path, rows = _maintained(spark, d)
-    postings.delete_index(rows.filter("doc_id % 5 = 0"), path)
-    postings.append_index(rows.filter("doc_id % 10 = 0"), path, carry=batch_search.ATTRIBUTES)
-    index = postings.read_index(spark, path)
+    stored.delete_index(rows.filter("doc_id % 5 = 0"), path)
+    stored.append_index(rows.filter("doc_id % 10 = 0"), path, carry=batch_search.ATTRIBUTES)
+    index = stored.read_index(spark, path)
     counted = index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("postings"))
     return index.vocabulary.join(counted, ["field", "term"]).select(
         "field", "term", "df", "postings", F.lit(index.documents).cast("long").alias("documents")
@@ -197,8 +196,8 @@ def _write_and_read_index(spark: Spark, d: str) -> DataFrame:
     """The batch answered from stored index tables."""
     rows = fx.entries(spark, d)
     path = work_dir(spark, "index")
-    postings.write_index(rows, path, carry=batch_search.ATTRIBUTES)
-    found = batch_search.search_many(rows, fx.patterns(spark), postings.read_index(spark, path))
+    stored.write_index(rows, path, carry=batch_search.ATTRIBUTES)
+    found = batch_search.search_many(rows, fx.patterns(spark), stored.read_index(spark, path))
     return found.select("pattern_id", "rank", "score", *ROW_COLUMNS)
 
 
@@ -249,6 +248,25 @@ WHERE rank > page_from AND rank <= page_from + CASE WHEN page_size <= 0 THEN 10
 )
 
 
+def _search_best_blocks(spark: Spark, d: str) -> DataFrame:
+    """The best hits first, from the blocks that can hold them."""
+    hits, _ = best_blocks.best_hits(stored_index(spark, d), DESCRIBED, 25)
+    return hits
+
+
+def _index_compact(spark: Spark, d: str) -> DataFrame:
+    """Entries are added, taken out and added again, and what is left is merged into one segment."""
+    path, rows = _maintained(spark, d)
+    stored.delete_index(rows.filter("doc_id % 3 = 0"), path)
+    stored.append_index(rows.filter("doc_id % 6 = 0"), path, carry=batch_search.ATTRIBUTES)
+    stored.compact_index(spark, path, most_segments=1)
+    index = stored.read_index(spark, path)
+    counted = index.postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("postings"))
+    return index.vocabulary.join(counted, ["field", "term"]).select(
+        "field", "term", "df", "postings", F.lit(index.documents).cast("long").alias("documents")
+    )
+
+
 def _hitlist_cache(spark: Spark, d: str) -> DataFrame:
     """Three hit lists are kept; the one that is young enough and newest is read."""
     path, now = work_dir(spark, "hits"), datetime(2024, 1, 1, 12)
@@ -422,7 +440,7 @@ FROM replies GROUP BY round_id""",
         _search_page_cached,
         _search_sql(
             TOKENS_ONLY,
-            f"SELECT {', '.join('e.' + c for c in ROW_COLUMNS)} FROM page JOIN entries e USING ({IDS}) WHERE doc_id % 2 = 0",
+            f"SELECT {', '.join('e.' + c for c in ROW_COLUMNS)} FROM page JOIN entries e USING ({IDS})",
             page_sql(10, 30),
         ),
     ),
@@ -434,6 +452,17 @@ FROM replies GROUP BY round_id""",
             "count(*) AS postings, (SELECT count(*) FROM entries WHERE doc_id % 5 <> 0 OR doc_id % 10 = 0) AS documents",
         ),
     ),
+    "index_compact": Query(
+        _index_compact,
+        _index_sql(
+            "doc_id % 3 <> 0 OR doc_id % 6 = 0",
+            "count(*) AS postings, (SELECT count(*) FROM entries WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0) AS documents",
+        ),
+    ),
+    "search_best_blocks": Query(
+        _search_best_blocks,
+        _search_sql(DESCRIBED, f"SELECT {HIT} FROM hits ORDER BY score DESC, {IDS} LIMIT 25"),
+    ),
     "search_batch": Query(_search_batch, BATCH_SQL),
     "search_batch_stored_index": Query(_write_and_read_index, BATCH_SQL),
     "pattern_entries_join": Query(

@@ -27,6 +27,7 @@ from shelfmark.plans.unit_queries import BROKEN, TRACKED, _broken_units
 from shelfmark.schema import ID, UNIT
 from shelfmark.session import work_dir
 from shelfmark.sources import dumps
+from shelfmark.sources.generations import file_system
 from shelfmark.streaming import ordered, replies, requests, state, telemetry
 
 Spark = SparkSession
@@ -60,21 +61,25 @@ def _close(rows: DataFrame, path: str, columns: tuple[str, ...]) -> None:
 def in_batches(
     spark: Spark, rows: DataFrame, *closing_columns: str, time: str = "ts", batches: int = 3
 ) -> DataFrame:
-    """The same in time order, as several micro-batches of about equal size: one file each."""
+    """The same in time order, as about so many micro-batches. All tasks write at once, each a file
+    of a range of time; the number of files grows with the table."""
     path = work_dir(spark, "staged")
-    micros = F.unix_micros(time)
-    shares = [i / batches for i in range(1, batches)]
-    bounds = rows.agg(F.percentile_approx(micros, shares, 1000)).first()[0] or []
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = rows
-        if low is not None:
-            part = part.filter(micros > low)
-        if high is not None:
-            part = part.filter(micros <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
+    # As many files as the scan of the table has tasks, dealt to the batches.
+    per_batch = max(1, -(-rows.rdd.getNumPartitions() // batches))
+    rows.repartitionByRange(per_batch * batches, time).write.parquet(path)
+    _in_name_order(spark, path)
     if closing_columns:
         _close(rows, path, closing_columns)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+
+
+def _in_name_order(spark: Spark, path: str) -> None:
+    """A stream takes files by their times; these are set a second apart, in the order of the ranges."""
+    system, place = file_system(spark, path)
+    files = {s.getPath().getName(): s for s in system.listStatus(place) if s.getPath().getName().startswith("part-")}
+    first = min(s.getModificationTime() for s in files.values())
+    for i, name in enumerate(sorted(files, reverse=True), 1):
+        system.setTimes(files[name].getPath(), first - 1000 * i, -1)
 
 
 def before_closing(rows: DataFrame, column: str = "window_start") -> DataFrame:
@@ -222,7 +227,7 @@ def _commit(spark: Spark, d: str) -> tuple[str, str, int]:
     rows = _arriving(spark, d)
     mixed = rows.repartitionByRange(3, F.md5("hash"))
     # Every fourth category arrives twice, so repeats are part of the stream.
-    repeats = rows.filter("category = 'Music'").repartition(1)
+    repeats = rows.filter("category = 'Music'").repartitionByRange(3, F.md5("hash"))
     stream = staged(spark, mixed.unionByName(repeats), files_per_batch=1)
     path, state_path = work_dir(spark, "out"), work_dir(spark, "state")
     query = ordered.stream_ordered_commit(stream, path, state_path, work_dir(spark, "checkpoint"))

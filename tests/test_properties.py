@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from shelfmark.plans import fixtures as fx
 from shelfmark.plans.search_queries import FLAGSHIP, TOKENS_ONLY
 from shelfmark.schema import ID, PATTERN_SCHEMA, SHARD, Pattern
 from shelfmark.session import work_dir
+from shelfmark.sources import generations
+from shelfmark.sources import index as stored_index
 
 
 @pytest.fixture(scope="module")
@@ -70,8 +72,8 @@ def test_search_does_not_depend_on_partitions(spark, entries):
 
 def test_batch_and_index_agree_with_single_searches(spark, entries):
     path = work_dir(spark, "index")
-    postings.write_index(entries, path, carry=batch_search.ATTRIBUTES)
-    index = postings.read_index(spark, path)
+    stored_index.write_index(entries, path, carry=batch_search.ATTRIBUTES)
+    index = stored_index.read_index(spark, path)
     patterns = [
         FLAGSHIP,
         TOKENS_ONLY,
@@ -94,8 +96,34 @@ def test_hit_lists_expire(spark, entries):
     search.store_hits(merged, TOKENS_ONLY, at, path)
     n = merged.count()
     assert search.cached_hits(spark, TOKENS_ONLY, datetime(2024, 1, 1, 12, 0, 24), path).count() == n
-    assert search.cached_hits(spark, TOKENS_ONLY, datetime(2024, 1, 1, 12, 0, 25), path).count() == 0
-    assert search.cached_hits(spark, FLAGSHIP, at, path).count() == 0
+    assert search.cached_hits(spark, TOKENS_ONLY, datetime(2024, 1, 1, 12, 0, 25), path) is None
+    assert search.cached_hits(spark, FLAGSHIP, at, path) is None
+    # A changed catalog does not change a list that is young enough.
+    fewer = entries.filter("doc_id % 2 = 0")
+    page = search.search_cached(fewer, TOKENS_ONLY, datetime(2024, 1, 1, 12, 0, 20), path, 0, n).select(*ID)
+    assert sorted(rows(page)) == sorted(rows(merged.join(fewer, ID, "left_semi").select(*ID)))
+
+
+def test_hit_lists_leave_the_store(spark, entries, monkeypatch):
+    """Many searches keep few folders; a list without hits is kept; a failed write is not seen."""
+    path, at = work_dir(spark, "hits"), datetime(2024, 1, 1, 12)
+    nothing = Pattern(file_name="zzzzzzzz")
+    made = []
+    plain = search.merged_hits
+    monkeypatch.setattr(search, "merged_hits", lambda *a, **k: made.append(1) or plain(*a, **k))
+    for i in range(12):
+        assert search.search_cached(entries, nothing, at + timedelta(seconds=8 * i), path).isEmpty()
+    assert len(made) == 3  # at 0, 32 and 64 seconds
+    for i in range(12):
+        search.store_hits(plain(entries, nothing), nothing, at + timedelta(seconds=100 + 8 * i), path)
+    assert len(generations.folder_names(spark, f"{path}/data")) <= 8
+    assert len(generations.version(spark, path).parts) <= 4
+    last = at + timedelta(seconds=188)
+    with monkeypatch.context() as patch:
+        patch.setattr(generations, "commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            search.store_hits(plain(entries, TOKENS_ONLY), TOKENS_ONLY, last, path)
+    assert search.cached_hits(spark, TOKENS_ONLY, last, path) is None
 
 
 def test_limits_are_applied_before_the_shuffle(entries):
