@@ -44,9 +44,12 @@ SIMILARITY = 0.8
 SMALL_BUCKET = 16
 #: Words are ordered by counts in so many slots, then by hash: any order serves, if all share it.
 COUNT_SLOTS = 2**18
+#: And a rare word that has a slot of this many to itself is in one text only.
+SINGLE_SLOTS = 2**22
 SKETCH_SCHEMA = "doc_id long, key_a long, key_b long, n_words long, sketches array<long>"
-RARE_SCHEMA = "node long, n long, rare array<long>"
+RARE_SCHEMA = "node long, rare array<long>"
 EDGE_SCHEMA = "a long, b long"
+RIGHT = {"node": "b", "n": "m", "label": "label_b", "keys": "keys_b"}
 
 
 def _text_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -90,13 +93,41 @@ def _labelled(words: Words) -> np.ndarray:
     return mix(words.hashes + labels.astype(U64) * U64(0xD1B54A32D192ED03))
 
 
+def _told(counts: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words of all texts fall into each slot."""
     counts = np.zeros(COUNT_SLOTS, np.int64)
     for batch in batches:
         for words in word_slices(batch.column(1)):
             counts += np.bincount((_labelled(words) % U64(COUNT_SLOTS)).astype(np.int64), minlength=COUNT_SLOTS)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+    yield _told(counts)
+
+
+def _rare_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rare words fall into each slot."""
+    counts = np.zeros(SINGLE_SLOTS, np.int32)
+    for batch in batches:
+        keys = batch.column(1).flatten().to_numpy(False).view(U64)
+        np.add.at(counts, (keys >> U64(40)).astype(np.int64) % SINGLE_SLOTS, 1)
+    yield _told(counts.astype(np.int64))
+
+
+def _repeated(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each rare word of a text that another text may have as well."""
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy(False)
+            nodes = np.repeat(batch.column(0).to_numpy(False), lists.value_lengths().to_numpy(False))
+            keep = shared.value[(keys.view(U64) >> U64(40)).astype(np.int64) % SINGLE_SLOTS]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(keys[keep])], names=["node", "word"])
+
+    return repeated
 
 
 def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -116,23 +147,30 @@ def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.Recor
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first_row, words.rows),
-                        pa.array(n.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[order][keep].view(np.int64))),
                     ],
-                    names=["node", "n", "rare"],
+                    names=["node", "rare"],
                 )
 
     return rarest
 
 
-def rare_words(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``node``, ``n`` and ``rare`` of a table (doc_id, text): the number of words and the hashes of
-    the rarest ones. Two texts whose word edit similarity reaches the threshold share one."""
-    counted = texts.mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNT_SLOTS, np.int64)
+def _counted(slots: DataFrame, size: int) -> np.ndarray:
+    """Sums by slot: as many rows as slots reach the driver at most."""
+    counted = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(size, np.int64)
     counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
-    return texts.mapInArrow(_rarest(shared, similarity), RARE_SCHEMA)
+    return counts
+
+
+def rare_words(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, word) of a table (doc_id, text): hashes of the rarest words of each text, without those
+    that only one text has. Two texts whose word edit similarity reaches the threshold share one."""
+    context = texts.sparkSession.sparkContext
+    counts = _counted(texts.mapInArrow(_slots, "slot long, n long"), COUNT_SLOTS)
+    rare = durable(texts.mapInArrow(_rarest(context.broadcast(counts), similarity), RARE_SCHEMA))
+    several = _counted(rare.mapInArrow(_rare_slots, "slot long, n long"), SINGLE_SLOTS) > 1
+    return durable(rare.mapInArrow(_repeated(context.broadcast(several)), "node long, word long"))
 
 
 def _align(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -234,22 +272,23 @@ def near_copies(
     parted = durable(_apart(marked.select("key", "node", "n", "label")))
     large = parted.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SMALL_BUCKET).select("key")
     large = durable(large)
-    met = parted.join(large, "key")
+    met = durable(
+        parted.join(large, "key").groupBy("node", "n", "label").agg(F.collect_list("key").alias("keys"))
+    )
     nodes_met = met.select(F.xxhash64("node").alias("hash")).distinct()
     rare = rare_words(rows_in_filter(texts, "doc_id", key_filter(nodes_met, "hash")), similarity)
-    # A common passage is a hot key of this join; with one of its rarest words a text is not.
-    by_word = met.join(rare.select("node", F.explode("rare").alias("word")), "node").select(
-        F.xxhash64("key", "word").alias("key"), "node", "n", "label"
-    )
-    left = durable(parted.join(large, "key", "left_anti").select("key", "node", "n", "label").unionByName(_apart(durable(by_word))))
-    right = left.toDF("key", "b", "m", "label_b")
-    rest = (
-        left.join(right, "key")
-        .filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
-        .filter(_alike(F.col("n"), F.col("m"), similarity))
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
-    )
+    # A common passage is no key of this join, as one of its rarest words a text is not.
+    by_word = durable(_apart(durable(met.join(rare.withColumnRenamed("word", "key"), "node"))))
+    few = parted.join(large, "key", "left_anti")
+
+    def pairs_of(left: DataFrame, *shared: Column) -> DataFrame:
+        right = left.select([F.col(c).alias(RIGHT.get(c, c)) for c in left.columns])
+        met = left.join(right, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
+        for test in (_alike(F.col("n"), F.col("m"), similarity), *shared):
+            met = met.filter(test)
+        return met.select(F.col("node").alias("a"), "b")
+
+    rest = pairs_of(few).unionByName(pairs_of(by_word, F.arrays_overlap("keys", "keys_b"))).distinct()
     edges = edges.unionByName(verified(rest))
     labels = durable(components(edges))
 

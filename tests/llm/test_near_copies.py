@@ -105,7 +105,7 @@ def test_linked_texts_share_a_rare_word(texts):
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], names=["doc_id", "text"])
     for part in _slots(iter([batch])):
         counts[part.column(0).to_numpy()] += part.column(1).to_numpy()
-    rare = next(_rarest(SimpleNamespace(value=counts), 0.8)(iter([batch]))).column(2).to_pylist()
+    rare = next(_rarest(SimpleNamespace(value=counts), 0.8)(iter([batch]))).column(1).to_pylist()
     for i, a in enumerate(lines):
         for j, b in enumerate(lines):
             if near(a.encode().split(), b.encode().split(), 0.8):
