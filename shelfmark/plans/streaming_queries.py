@@ -242,7 +242,7 @@ def _ordered_commit(spark: Spark, d: str) -> DataFrame:
 
 def _stalled(spark: Spark, d: str) -> DataFrame:
     path, state_path, batches = _commit(spark, d)
-    waiting = ordered.held(spark, path, _arriving(spark, d).schema, batches - 1)
+    waiting = ordered.held(spark, path, state_path, _arriving(spark, d).schema, batches)
     return ordered.stalled(waiting, ordered.committed(spark, state_path, batches))
 
 

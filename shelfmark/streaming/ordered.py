@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -37,35 +39,75 @@ def frontier_table(path: str) -> DeltaTable:
     return DeltaTable(path, FRONTIER_SCHEMA, max_per_key(UNIT, "next_id"))
 
 
-def release(waiting: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mark the entries that can be released now, and give the new frontier of their units.
+MASK_SCHEMA = T.StructType(
+    [
+        T.StructField("epoch_id", T.LongType()),
+        T.StructField("leader_id", T.IntegerType()),
+        T.StructField("block", T.LongType()),
+        T.StructField("mask", T.LongType()),
+    ]
+)
+#: Ids of a unit that one mask tells of.
+BITS = 64
+#: Waiting entries lie in folders by the hash of their unit.
+BUCKETS = 64
+
+
+def mask_table(path: str) -> DeltaTable:
+    """Per unit and block of 64 ids which of them have arrived."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*UNIT, "block").agg(F.bit_or("mask").alias("mask"))
+
+    return DeltaTable(path, MASK_SCHEMA, merge)
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64(*UNIT), F.lit(BUCKETS)).cast("int")
 
-    Ids below the frontier are dropped, as are repeats. From the frontier on, the
-    first id that is not there is found by an anti-join; everything below it goes
-    out at once. Units advance independently, so a shard is never one task. The ids
-    are written apart first, so that whole entries are read once only.
+
+def _block(value: str) -> Column:
+    return F.floor(F.col(value) / F.lit(BITS))
+
+
+def _bit(value: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({value} & {BITS - 1} as int))")
+
+
+def unseen(batch: DataFrame, masks: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The entries of a batch that have neither been released nor wait: one row for each id."""
+    placed = batch.dropDuplicates(ID).withColumn("block", _block("entry_id"))
+    known = placed.join(frontier, UNIT, "left").join(masks, [*UNIT, "block"], "left")
+    late = F.col("entry_id") < F.coalesce("next_id", F.lit(0))
+    there = F.coalesce(F.col("mask").bitwiseAND(_bit("entry_id")) != 0, F.lit(False))
+    return known.filter(~late & ~there).select(batch.columns)
+
+
+def frontiers(masks: DataFrame, units: DataFrame, frontier: DataFrame) -> DataFrame:
+    """(unit, start, next_id) of the units: where they stand, and the first id from there on that
+    has not arrived.
+
+    The first block that is not full is found by an anti-join, and the id within its mask. Units
+    advance independently, so a shard is never one task, nor is a unit.
     """
-    ids = durable(waiting.select(*ID).distinct())
-    known = ids.select(*UNIT).distinct().join(frontier, UNIT, "left").select(
-        *UNIT, F.coalesce("next_id", F.lit(0)).alias("start")
-    )
-    fresh = ids.join(known, UNIT).filter(F.col("entry_id") >= F.col("start"))
-    possible = fresh.select(*UNIT, "start", (F.col("entry_id") + 1).alias("entry_id"))
-    possible = possible.unionByName(known.withColumn("entry_id", F.col("start")))
-    # Needed for the rows and for the state, so it is computed once.
-    bounds = durable(
-        possible.join(fresh.select(*ID), ID, "left_anti")
-        .groupBy(*UNIT, "start")
-        .agg(F.min("entry_id").alias("next_id"))
-    )
-    marked = (
-        waiting.dropDuplicates(ID)
-        .join(bounds, UNIT)
-        .filter(F.col("entry_id") >= F.col("start"))
-        .withColumn("released", F.col("entry_id") < F.col("next_id"))
-        .drop("start", "next_id")
+    start = units.join(frontier, UNIT, "left").select(*UNIT, F.coalesce("next_id", F.lit(0)).alias("start"))
+    blocks = masks.join(start, UNIT).filter(F.col("block") >= _block("start"))
+    # What lies below the frontier counts as there.
+    ones = F.expr(f"CASE WHEN start & {BITS - 1} = 0 THEN 0L ELSE shiftrightunsigned(-1L, {BITS} - cast(start & {BITS - 1} AS int)) END")
+    below = F.when(F.col("block") == _block("start"), ones).otherwise(F.lit(0).cast("long"))
+    blocks = durable(blocks.select(*UNIT, "start", "block", F.col("mask").bitwiseOR(below).alias("mask")))
+    full = blocks.filter(F.col("mask") == -1)
+    ahead = full.select(*UNIT, "start", (F.col("block") + 1).alias("block"))
+    ahead = ahead.unionByName(start.withColumn("block", _block("start")))
+    first = ahead.join(full.select(*UNIT, "block"), [*UNIT, "block"], "left_anti")
+    first = first.groupBy(*UNIT, "start").agg(F.min("block").alias("block"))
+    mask = F.coalesce("mask", F.lit(0).cast("long"))
+    missing = F.array_min(
+        F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit(mask, i) == 0)
     )
-    return marked, bounds.drop("start")
+    found = first.join(blocks.select(*UNIT, "block", "mask"), [*UNIT, "block"], "left")
+    at = F.greatest(F.col("start"), F.col("block") * BITS + missing)
+    return found.select(*UNIT, "start", at.cast("long").alias("next_id"))
 
 
 def stream_ordered_commit(
@@ -73,40 +115,76 @@ def stream_ordered_commit(
 ) -> StreamingQuery:
     """Release the entries of a stream in id order, batch after batch.
 
-    ``path`` gets one folder per batch, split into released and waiting entries (see
-    ``released`` and ``held``). The state holds the frontier. Ids that are lost for
-    ever keep their successors waiting; ``stalled`` reports them.
+    Ids below the frontier of their unit are dropped, as are repeats. ``path`` gets two folders
+    per batch: the entries that it released, and those of its own that wait. A waiting entry is
+    written once, and read again when its unit advances; the state holds the frontier of each
+    unit and one mask for 64 ids that are there. So a batch writes in proportion to itself and
+    to what it releases, however many entries wait. Ids that are lost for ever keep their
+    successors waiting; ``stalled`` reports them.
     """
-    frontier = frontier_table(state_path)
+    frontier, masks = frontier_table(f"{state_path}/frontier"), mask_table(f"{state_path}/masks")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        waiting = batch
-        if batch_id > 0:
-            waiting = held(spark, path, batch.schema, batch_id - 1).unionByName(batch)
-        marked, advanced = release(waiting, frontier.before(spark, batch_id))
-        marked.write.mode("overwrite").partitionBy("released").parquet(f"{path}/batch={batch_id}")
-        frontier.add(advanced, batch_id)
+        known = frontier.before(spark, batch_id)
+
+        def ahead(rows: DataFrame) -> DataFrame:
+            """Masks of blocks that the frontier has not passed."""
+            placed = rows.join(known, UNIT, "left")
+            return placed.filter(F.col("block") >= F.floor(F.coalesce("next_id", F.lit(0)) / BITS)).select(rows.columns)
+
+        units = durable(batch.select(*UNIT).distinct())
+        held_masks = durable(masks.before(spark, batch_id, ahead).join(units, UNIT, "left_semi"))
+        fresh = durable(unseen(batch, held_masks, known))
+        delta = fresh.groupBy(*UNIT, _block("entry_id").alias("block")).agg(F.bit_or(_bit("entry_id")).alias("mask"))
+        masks.add(delta, batch_id)
+        now = masks.merge(held_masks.unionByName(delta))
+        # Needed for the rows and for the state, so it is computed once.
+        bounds = durable(frontiers(now, units, known))
+        frontier.add(bounds, batch_id)
+        passed = (F.col("entry_id") >= F.col("start")) & (F.col("entry_id") < F.col("next_id"))
+        rows = fresh
+        advanced = bounds.filter(F.col("next_id") > F.col("start"))
+        if batch_id > 0 and not advanced.isEmpty():
+            buckets = [r[0] for r in advanced.select(_bucket()).distinct().collect()]
+            earlier = _waiting(spark, path, batch.schema, batch_id)
+            rows = rows.unionByName(earlier.filter(F.col("bucket").isin(buckets)).drop("bucket"))
+        released_rows = rows.join(advanced, UNIT).filter(passed).select(batch.columns)
+        released_rows.write.mode("overwrite").parquet(f"{path}/released/batch={batch_id}")
+        waits = fresh.join(bounds, UNIT).filter(F.col("entry_id") >= F.col("next_id")).select(batch.columns)
+        waits.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{path}/waiting/batch={batch_id}"
+        )
 
     return run_batches(stream, each, checkpoint)
 
 
+def _waiting(spark: SparkSession, path: str, schema: T.StructType, batches: int) -> DataFrame:
+    """What the first ``batches`` batches had to let wait, with its bucket."""
+    placed = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    names = [f.name for f in placed.fields]
+    folders = [f"{path}/waiting/batch={b}" for b in range(batches)]
+    tables = [spark.read.schema(placed).parquet(f).select(names) for f in folders]
+    if not tables:
+        return spark.createDataFrame([], placed)
+    return reduce(DataFrame.unionByName, tables)
+
+
 def released(spark: SparkSession, path: str) -> DataFrame:
     """All entries released so far, with the batch that released them."""
-    # Folder names read back as text.
-    return spark.read.parquet(path).filter("released = 'true'").drop("released")
+    return spark.read.parquet(f"{path}/released")
 
 
-def held(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """The entries that wait after a batch."""
-    marked = T.StructType([*schema.fields, T.StructField("released", T.BooleanType())])
-    rows = spark.read.schema(marked).parquet(f"{path}/batch={batch_id}")
-    return rows.filter("NOT released").drop("released")
+def held(spark: SparkSession, path: str, state_path: str, schema: T.StructType, batches: int) -> DataFrame:
+    """The entries that wait after the first ``batches`` batches."""
+    rows = _waiting(spark, path, schema, batches).drop("bucket")
+    left = rows.join(committed(spark, state_path, batches), UNIT, "left")
+    return left.filter(F.col("entry_id") >= F.coalesce("next_id", F.lit(0))).select(rows.columns)
 
 
 def committed(spark: SparkSession, state_path: str, batches: int) -> DataFrame:
     """The frontier after the first ``batches`` batches."""
-    return frontier_table(state_path).before(spark, batches)
+    return frontier_table(f"{state_path}/frontier").before(spark, batches)
 
 
 def stalled(waiting: DataFrame, frontier: DataFrame) -> DataFrame:

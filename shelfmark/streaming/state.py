@@ -46,15 +46,22 @@ class DeltaTable:
     merge: Callable[[DataFrame], DataFrame]
     every: int = SNAPSHOT_EVERY
 
-    def before(self, spark: SparkSession, batch_id: int, keep: Column | None = None) -> DataFrame:
-        """The rows as they were before ``batch_id``, those that ``keep`` holds for.
+    def before(
+        self,
+        spark: SparkSession,
+        batch_id: int,
+        keep: Column | Callable[[DataFrame], DataFrame] | None = None,
+    ) -> DataFrame:
+        """The rows as they were before ``batch_id``, those that ``keep`` holds for or gives.
 
         Writes a snapshot of them when one is due, so that rows which no later batch needs
         do not stay for ever.
         """
 
         def kept(rows: DataFrame) -> DataFrame:
-            return rows if keep is None else rows.filter(keep)
+            if keep is None:
+                return rows
+            return rows.filter(keep) if isinstance(keep, Column) else keep(rows)
 
         base = batch_id // self.every * self.every
         if base and base == batch_id:
