@@ -46,7 +46,9 @@ SMALL_BUCKET = 16
 COUNT_SLOTS = 2**18
 #: And a rare word that has a slot of this many to itself is in one text only.
 SINGLE_SLOTS = 2**22
-SKETCH_SCHEMA = "doc_id long, key_a long, key_b long, n_words long, sketches array<long>"
+#: Words of a text are counted in so many bins, to tell unlike texts apart before they are aligned.
+BINS = 256
+SKETCH_SCHEMA = "doc_id long, key_a long, key_b long, n_words long, sketches array<long>, bins binary"
 RARE_SCHEMA = "node long, rare array<long>"
 EDGE_SCHEMA = "a long, b long"
 RIGHT = {"node": "b", "n": "m", "label": "label_b", "keys": "keys_b"}
@@ -66,11 +68,35 @@ def _text_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return keys[0], keys[1]
 
 
+def _bins(words: Words) -> np.ndarray:
+    """How many words of each row fall into each bin, up to 255."""
+    at = words.doc * BINS + (words.hashes % U64(BINS)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=words.rows * BINS), 255).astype(np.uint8).reshape(words.rows, BINS)
+
+
+def _near_bins(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs whose bins do not rule them out: an edit moves one word, so it changes the bins by
+    two at most, and by less where they are full."""
+
+    def near_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            a, b = (
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, BINS).astype(np.int16) for i in (2, 4)
+            )
+            longer = np.maximum(batch.column(3).to_numpy(False), batch.column(5).to_numpy(False))
+            apart = np.abs(a - b).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart <= 2 * ((1 - similarity) * longer + 1e-6)))
+
+    return near_bins
+
+
 def _sketch(k: int, picked: int, sketches: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_slices(batch.column(1)):
                 key_a, key_b = _text_keys(words)
+                bins = _bins(words)
                 keys = order_sketches(words, k, picked, sketches)
                 edges = np.arange(words.rows + 1, dtype=np.int32) * sketches
                 yield pa.RecordBatch.from_arrays(
@@ -80,8 +106,9 @@ def _sketch(k: int, picked: int, sketches: int) -> Callable[[Iterator[pa.RecordB
                         pa.array(key_b.view(np.int64)),
                         pa.array(words.counts().astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(keys.reshape(-1).view(np.int64))),
+                        pa.array([row.tobytes() for row in bins], pa.binary()),
                     ],
-                    names=["doc_id", "key_a", "key_b", "n_words", "sketches"],
+                    names=["doc_id", "key_a", "key_b", "n_words", "sketches", "bins"],
                 )
 
     return sketch
@@ -130,9 +157,17 @@ def _repeated(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return repeated
 
 
+def _with_length(keys: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Two keys for each word: with the class of the text's length, and with the next. Lengths that
+    allow the similarity lie in one class or in neighbours, so such texts share a key."""
+    width = np.log(1.0001 / similarity)
+    size = np.floor(np.log(np.maximum(n, 1)) / width).astype(U64)
+    return mix(keys[:, None] + (size[:, None] + np.arange(2, dtype=U64)) * U64(0xA24BAED4963EE407)).reshape(-1)
+
+
 def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The rarest words of each text, as many as it may differ in from a text it is linked to,
-    and one more."""
+    """Keys of the rarest words of each text, as many as it may differ in from a text it is linked
+    to, and one more."""
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +178,12 @@ def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.Recor
                 place = np.arange(len(keys)) - words.offsets()[words.doc]
                 wanted = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
                 keep = place < wanted[words.doc]
-                edges = np.concatenate([[0], np.cumsum(np.minimum(wanted, n))]).astype(np.int32)
+                edges = 2 * np.concatenate([[0], np.cumsum(np.minimum(wanted, n))]).astype(np.int32)
+                rare = _with_length(keys[order][keep], n[words.doc][keep], similarity)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first_row, words.rows),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[order][keep].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(edges), pa.array(rare.view(np.int64))),
                     ],
                     names=["node", "rare"],
                 )
@@ -164,7 +200,7 @@ def _counted(slots: DataFrame, size: int) -> np.ndarray:
 
 
 def rare_words(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, word) of a table (doc_id, text): hashes of the rarest words of each text, without those
+    """(node, word) of a table (doc_id, text): keys of the rarest words of each text, without those
     that only one text has. Two texts whose word edit similarity reaches the threshold share one."""
     context = texts.sparkSession.sparkContext
     counts = _counted(texts.mapInArrow(_slots, "slot long, n long"), COUNT_SLOTS)
@@ -228,7 +264,10 @@ def near_copies(
     real = table.filter((F.col("n_words") > 0) & F.col("doc_id").isNotNull())
     nodes = durable(
         real.groupBy("key_a", "key_b").agg(
-            F.min("doc_id").alias("node"), F.first("n_words").alias("n"), F.first("sketches").alias("sketches")
+            F.min("doc_id").alias("node"),
+            F.first("n_words").alias("n"),
+            F.first("sketches").alias("sketches"),
+            F.first("bins").alias("bins"),
         )
     )
     buckets = nodes.select("node", "n", F.explode("sketches").alias("key"))
@@ -245,7 +284,10 @@ def near_copies(
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose texts align; b, the side that repeats, is joined last."""
-        pairs = durable(pairs)
+        binned = nodes.select("node", "bins", "n")
+        pairs = pairs.join(binned.toDF("a", "bins_a", "n"), "a").join(binned.toDF("b", "bins_b", "m"), "b")
+        pairs = pairs.select("a", "b", "bins_a", "n", "bins_b", "m").mapInArrow(_near_bins(similarity), EDGE_SCHEMA)
+        pairs = durable(pairs.distinct())
         named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = key_filter(named.select(F.xxhash64("id").alias("hash")), "hash")
         some = rows_in_filter(texts, "doc_id", wanted)
