@@ -43,7 +43,7 @@ def test_query(spark, small_dir, oracle, name):
 def test_registered():
     names = set(__spark_entry__.queries())
     assert names >= set(QUERIES) | {"pipeline"}
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language",
         "near_duplicates",
