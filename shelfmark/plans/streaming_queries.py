@@ -269,9 +269,8 @@ def _freshest(spark: Spark, d: str) -> DataFrame:
     path = work_dir(spark, "out")
     query = telemetry.stream_freshest_peers(stream, path, work_dir(spark, "checkpoint"))
     query.awaitTermination()
-    written = state.read_batches(spark, path)
-    last = written.agg(F.max("batch")).scalar()
-    return written.filter(F.col("batch") == last).select(
+    table = telemetry.routing_table(path, rows.schema)
+    return table.before(spark, query.lastProgress.batchId + 1).select(
         "category_id", "partition_id", "node_id", "depth", "round"
     )
 

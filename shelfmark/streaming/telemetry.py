@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.operators.peers import freshest_peers
+from shelfmark.operators.peers import BUCKET, freshest_peers
 from shelfmark.operators.telemetry import lag_of, percentiles_of_counts, shard_overview
 from shelfmark.schema import ROUTING_ENTRIES, TELEMETRY_WINDOW
 from shelfmark.session import durable
-from shelfmark.streaming.state import run_batches, write_batch
+from shelfmark.streaming.state import DeltaTable, run_batches, write_batch
 
 DELAY = "5 seconds"
 
@@ -112,28 +113,34 @@ def stream_convergence(
     return seen.filter(same & enough).select(_start(), "packets")
 
 
+def routing_table(path: str, schema: T.StructType) -> DeltaTable:
+    """The routing table as deltas: a batch adds the whole of each bucket that it changes, and the
+    latest of a bucket counts. ``schema`` is that of the samples."""
+
+    def merge(rows: DataFrame) -> DataFrame:
+        latest = rows.groupBy(*BUCKET).agg(F.max("version").alias("version"))
+        return rows.join(latest, [*BUCKET, "version"], "left_semi")
+
+    return DeltaTable(path, T.StructType([*schema.fields, T.StructField("version", T.LongType())]), merge)
+
+
 def stream_freshest_peers(
     samples: DataFrame, path: str, checkpoint: str, limit: int = ROUTING_ENTRIES
 ) -> StreamingQuery:
-    """Keep the routing table up to date; each batch writes its new version.
+    """Keep the routing table up to date; each batch writes the buckets that it touches.
 
-    Samples carry the ``round`` they were taken in; the age of a sample is the
-    number of rounds since. The table holds at most ``limit`` peers per bucket, and
-    a peer that fell out can only come back with a new sample, so merging a batch
-    into the last version gives the same as looking at all samples.
+    Samples carry the ``round`` they were taken in; the later round is the younger sample. The
+    table (``routing_table``) holds at most ``limit`` peers per bucket, and a peer that fell out can
+    only come back with a new sample, so merging a batch into the last version of its buckets
+    gives the same as looking at all samples.
     """
+    table = routing_table(path, samples.schema)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            last = batch.sparkSession.read.schema(batch.schema).parquet(
-                f"{path}/batch={batch_id - 1}"
-            )
-            rows = last.select(*batch.columns).unionByName(batch)
-        now = rows.agg(F.max("round")).scalar()
-        kept = freshest_peers(rows.withColumn("age", now - F.col("round")), limit)
-        write_batch(kept.select(*batch.columns), path, batch_id)
+        touched = batch.select(*BUCKET).distinct()
+        last = table.before(batch.sparkSession, batch_id).join(touched, BUCKET, "left_semi")
+        rows = last.select(*batch.columns).unionByName(batch)
+        kept = freshest_peers(rows.withColumn("age", -F.col("round")), limit)
+        table.add(kept.withColumn("version", F.lit(batch_id).cast("long")), batch_id)
 
     return run_batches(samples, each, checkpoint)
-
-

@@ -201,6 +201,25 @@ def test_unit_advance_follows_reports(spark):
     assert got == [(0, 100), (0, 100), (2, 100)]
 
 
+def test_routing_table_changes_by_bucket(spark):
+    """A batch writes the buckets that it touches, and the table equals that of all samples."""
+    from shelfmark.operators.peers import BUCKET, freshest_peers
+
+    schema = "category_id long, depth int, partition_id long, node_id long, num_entries long, is_lg_member boolean, is_nated boolean, round long"
+    parts = [[(b % 3, 1 + (n + b) % 2, b % 3, n, n * b, False, False, b) for n in range(9)] for b in range(6)]
+    path = work_dir(spark, "table")
+    stream = stream_of(spark, parts, schema)
+    telemetry.stream_freshest_peers(stream, path, work_dir(spark, "ckpt"), 4).awaitTermination()
+    for batch in range(6):
+        touched = spark.read.parquet(f"{path}/delta={batch}").select(*BUCKET).distinct().collect()
+        assert len(touched) <= len({(r[0], r[1], r[2]) for r in parts[batch]})
+    whole = spark.createDataFrame([r for p in parts for r in p], schema)
+    columns = [*BUCKET, "node_id", "round"]
+    twin = freshest_peers(whole.withColumn("age", 10 - F.col("round")), 4).select(*columns)
+    table = telemetry.routing_table(path, whole.schema).before(spark, 6)
+    assert sorted(map(tuple, table.select(*columns).collect())) == sorted(map(tuple, twin.collect()))
+
+
 def test_native_dedup_drops_repeats(spark):
     at = 1_700_000_000
     rows = [("a", at, 1), ("a", at + 10, 2), ("b", at, 3)]
