@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +17,7 @@ DIRECT_ROUNDS = 3
 SEEN_SCHEMA = T.StructType(
     [T.StructField("request_id", T.StringType()), T.StructField("seen", T.LongType())]
 )
+MARK_SCHEMA = "mark long"
 
 
 def _bucket(at: Column, ttl: int) -> Column:
@@ -132,23 +133,54 @@ def stream_dedup_requests(
     state_path: str,
     checkpoint: str,
     ttl_seconds: int = REQUEST_TTL_SECONDS,
+    delay_seconds: int = 0,
 ) -> StreamingQuery:
-    """The same on a stream whose batches arrive in time order."""
-    seen = DeltaTable(state_path, SEEN_SCHEMA, max_per_key(["request_id"], "seen"))
+    """The same on a stream whose requests arrive at most ``delay_seconds`` behind later ones.
+
+    A request is judged when no earlier one can come any more: until the latest time seen is
+    ``delay_seconds`` past it, it is held. So requests dealt to batches in any order within the
+    delay are judged as in one table. A request that comes later than that is not judged; it is
+    put aside (see ``late_requests``). What is held at the end of a stream stays held until a
+    later time is seen.
+    """
+    seen = DeltaTable(f"{state_path}/seen", SEEN_SCHEMA, max_per_key(["request_id"], "seen"))
+    delay = delay_seconds * 1_000_000
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        # Ids that can no longer block anything from this batch on are left out, and are not
-        # carried into the next snapshot either.
-        start = batch.agg(F.min(F.unix_micros("ts"))).first()[0]
+        spark, at = batch.sparkSession, F.unix_micros("ts")
+        before = None
+        rows = batch
+        if batch_id > 0:
+            last = spark.read.schema(MARK_SCHEMA).parquet(f"{state_path}/mark/batch={batch_id - 1}")
+            before = last.first()[0]
+            rows = spark.read.schema(batch.schema).parquet(f"{state_path}/held/batch={batch_id - 1}").unionByName(
+                batch if before is None else batch.filter(at >= before - delay)
+            )
+        newest = [t for t in (before, batch.agg(F.max(at)).first()[0]) if t is not None]
+        mark = max(newest, default=None)
+        spark.createDataFrame([(mark,)], MARK_SCHEMA).write.mode("overwrite").parquet(f"{state_path}/mark/batch={batch_id}")
+        late = batch.limit(0) if before is None else batch.filter(at < before - delay)
+        late.write.mode("overwrite").parquet(f"{state_path}/late/batch={batch_id}")
+        ripe = F.lit(False) if mark is None else at <= mark - delay
+        rows.filter(~ripe).write.mode("overwrite").parquet(f"{state_path}/held/batch={batch_id}")
+        ready = rows.filter(ripe)
+        # Ids that can no longer block anything from here on are left out, and are not carried
+        # into the next snapshot either: what is judged later is no earlier than the last mark.
+        start = None if before is None else before - delay
         lives = None if start is None else F.col("seen") >= start - ttl_seconds * 1_000_000
-        known = seen.before(batch.sparkSession, batch_id, lives)
-        stored = write_batch(accept_requests(batch, known, ttl_seconds), path, batch_id)
+        known = seen.before(spark, batch_id, lives)
+        stored = write_batch(accept_requests(ready, known, ttl_seconds), path, batch_id)
         delta = stored.groupBy("request_id").agg(F.max(F.unix_micros("ts")).alias("seen"))
         seen.add(delta, batch_id)
 
     return run_batches(stream, each, checkpoint)
 
 
+def late_requests(spark: SparkSession, state_path: str) -> DataFrame:
+    """Requests that came too late to be judged, with their batch."""
+    return spark.read.parquet(f"{state_path}/late")
+
+
 def native_dedup(stream: DataFrame, keys: list[str], delay: str = "5 minutes") -> DataFrame:
     """Spark's own form: the first row of each key while its state lives.
 

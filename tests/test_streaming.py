@@ -34,6 +34,26 @@ def test_requests_over_many_batches(spark):
     assert sorted(got) == sorted(kept) and len(kept) < len(rows)
 
 
+def test_requests_out_of_order(spark):
+    """Requests dealt to batches at random within the delay give what one table gives; those that
+    come later than that are put aside."""
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.4 else f"r{rng.randrange(9)}", rng.randrange(3000) * 1_000_000, e) for e in range(500)]
+    # Arrival by time plus up to 400 seconds: no request is more than that behind a later one.
+    arriving = sorted(rows, key=lambda r: (r[1] + rng.randrange(400) * 1_000_000, r[2]))
+    parts = [arriving[i : i + 100] for i in range(0, 500, 100)]
+    parts.append([("end", 10**12, 999), ("r1", 5, 1000)])
+    schema = "request_id string, at long, event_id long"
+    stream = stream_of(spark, parts, schema).withColumn("ts", F.timestamp_micros("at"))
+    path, state_path = work_dir(spark, "out"), work_dir(spark, "state")
+    requests.stream_dedup_requests(stream, path, state_path, work_dir(spark, "ckpt"), delay_seconds=400).awaitTermination()
+    got = sorted(r["event_id"] for r in state.read_batches(spark, path).collect())
+    assert got == sorted(greedy(rows, 300_000_000))
+    assert [r["event_id"] for r in requests.late_requests(spark, state_path).collect()] == [1000]
+    in_time_order = sorted(range(500), key=lambda i: (arriving[i][1], arriving[i][2]))
+    assert in_time_order != list(range(500))
+
+
 def arrivals(n: int):
     rows = [(e, 100, i) for e in range(6) for i in range(40) if (e, i) != (3, 7)]
     rows += RNG.sample(rows, 40)
