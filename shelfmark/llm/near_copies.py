@@ -51,7 +51,7 @@ BINS = 256
 SKETCH_SCHEMA = "doc_id long, key_a long, key_b long, n_words long, sketches array<long>, bins binary"
 RARE_SCHEMA = "node long, rare array<long>"
 EDGE_SCHEMA = "a long, b long"
-RIGHT = {"node": "b", "n": "m", "label": "label_b", "keys": "keys_b"}
+RIGHT = {"node": "b", "n": "m", "label": "label_b"}
 
 
 def _text_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +157,6 @@ def _repeated(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return repeated
 
 
-def _with_length(keys: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
-    """Two keys for each word: with the class of the text's length, and with the next. Lengths that
-    allow the similarity lie in one class or in neighbours, so such texts share a key."""
-    width = np.log(1.0001 / similarity)
-    size = np.floor(np.log(np.maximum(n, 1)) / width).astype(U64)
-    return mix(keys[:, None] + (size[:, None] + np.arange(2, dtype=U64)) * U64(0xA24BAED4963EE407)).reshape(-1)
-
-
 def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Keys of the rarest words of each text, as many as it may differ in from a text it is linked
     to, and one more."""
@@ -178,8 +170,8 @@ def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.Recor
                 place = np.arange(len(keys)) - words.offsets()[words.doc]
                 wanted = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
                 keep = place < wanted[words.doc]
-                edges = 2 * np.concatenate([[0], np.cumsum(np.minimum(wanted, n))]).astype(np.int32)
-                rare = _with_length(keys[order][keep], n[words.doc][keep], similarity)
+                edges = np.concatenate([[0], np.cumsum(np.minimum(wanted, n))]).astype(np.int32)
+                rare = keys[order][keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(words.first_row, words.rows),
@@ -320,17 +312,19 @@ def near_copies(
     nodes_met = met.select(F.xxhash64("node").alias("hash")).distinct()
     rare = rare_words(rows_in_filter(texts, "doc_id", key_filter(nodes_met, "hash")), similarity)
     # A common passage is no key of this join, as one of its rarest words a text is not.
-    by_word = durable(_apart(durable(met.join(rare.withColumnRenamed("word", "key"), "node"))))
+    by_word = durable(_apart(met.drop("keys").join(rare.withColumnRenamed("word", "key"), "node")))
     few = parted.join(large, "key", "left_anti")
 
-    def pairs_of(left: DataFrame, *shared: Column) -> DataFrame:
+    def pairs_of(left: DataFrame) -> DataFrame:
         right = left.select([F.col(c).alias(RIGHT.get(c, c)) for c in left.columns])
-        met = left.join(right, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
-        for test in (_alike(F.col("n"), F.col("m"), similarity), *shared):
-            met = met.filter(test)
-        return met.select(F.col("node").alias("a"), "b")
-
-    rest = pairs_of(few).unionByName(pairs_of(by_word, F.arrays_overlap("keys", "keys_b"))).distinct()
+        found = left.join(right, "key").filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
+        return found.filter(_alike(F.col("n"), F.col("m"), similarity)).select(F.col("node").alias("a"), "b").distinct()
+
+    # Those that met by a word must have a bucket in common as well.
+    held = met.select("node", "keys")
+    by_word = pairs_of(by_word).join(held.toDF("a", "keys_a"), "a").join(held.toDF("b", "keys_b"), "b")
+    by_word = by_word.filter(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
+    rest = pairs_of(few).unionByName(by_word).distinct()
     edges = edges.unionByName(verified(rest))
     labels = durable(components(edges))
 
