@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, GroupedData, Window
@@ -151,6 +152,42 @@ def cluster_converged(
 # -- user functions ------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class WindowProcessor:
+    """A user-defined aggregate over telemetry windows, in three steps that bound what a task holds.
+
+    ``partial`` turns packets (with ``window_start``) into partial rows of ``schema``, which holds
+    ``window_start``; it may run on any part of a window's packets. ``merge`` turns partial rows
+    into fewer of the same columns, and must not depend on their order or on what was merged
+    before. ``finish`` makes the result rows from the merged rows of whole windows. A partial
+    step in Python is ``python_partial``.
+    """
+
+    partial: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
+    finish: Callable[[DataFrame], DataFrame]
+    schema: T.StructType
+
+
+def python_partial(
+    run: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str
+) -> Callable[[DataFrame], DataFrame]:
+    """A partial step that hands bounded Arrow batches of packets to a pandas function."""
+
+    def each(batches):
+        for batch in batches:
+            yield run(batch)
+
+    return lambda rows: rows.mapInPandas(each, schema)
+
+
+def process_windows(
+    states: DataFrame, processor: WindowProcessor, width: str = TELEMETRY_WINDOW
+) -> DataFrame:
+    """Run a window processor over a table of packets."""
+    return processor.finish(processor.merge(processor.partial(in_windows(states, width))))
+
+
 def register_window_processor(
     states: DataFrame,
     combine: Callable[[DataFrame], DataFrame],
@@ -163,15 +200,11 @@ def register_window_processor(
     ``combine`` maps the windowed packets (with ``window_start``) to result rows. If
     it needs Python, ``partial`` turns bounded Arrow batches of packets into partial
     rows first, and ``combine`` groups those: no task ever holds a whole window.
+    ``WindowProcessor`` is the form that also runs on a stream.
     """
     rows = in_windows(states, width)
     if partial is not None:
-
-        def run(batches):
-            for batch in batches:
-                yield partial(batch)
-
-        rows = rows.mapInPandas(run, partial_schema)
+        rows = python_partial(partial, partial_schema)(rows)
     return combine(rows)
 
 

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shelfmark.operators.telemetry import WindowProcessor
 from shelfmark.operators.units import lowest_missing
 from shelfmark.plans import fixtures as fx
 from shelfmark.plans.peer_queries import BUCKET, INVERTED, SAMPLES, _samples
@@ -125,6 +127,52 @@ def _shard_overview(spark: Spark, d: str) -> DataFrame:
     return out.withColumnRenamed("full", "full_")
 
 
+PARTIAL_SCHEMA = T.StructType(
+    [
+        T.StructField("window_start", T.TimestampType()),
+        T.StructField("partition_id", T.LongType()),
+        T.StructField("packets", T.LongType()),
+        T.StructField("entries", T.LongType()),
+        T.StructField("least", T.LongType()),
+        T.StructField("most", T.LongType()),
+    ]
+)
+
+
+def _spread_partial(packets: DataFrame) -> DataFrame:
+    """User code: one partial row of each packet."""
+    entries = [F.col("num_entries").alias(c) for c in ("entries", "least", "most")]
+    return packets.select(
+        "window_start", F.col("partition_id").cast("long"), F.lit(1).cast("long").alias("packets"), *entries
+    )
+
+
+def _spread_merge(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("window_start", "partition_id").agg(
+        F.sum("packets").alias("packets"),
+        F.sum("entries").alias("entries"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+    )
+
+
+def _spread_finish(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "window_start", "partition_id", "packets", "entries", (F.col("most") - F.col("least")).alias("spread")
+    )
+
+
+SPREAD = WindowProcessor(_spread_partial, _spread_merge, _spread_finish, PARTIAL_SCHEMA)
+
+
+def _stream_processor(spark: Spark, d: str) -> DataFrame:
+    path = work_dir(spark, "out")
+    telemetry.stream_window_processor(
+        _states(spark, d), SPREAD, path, work_dir(spark, "state"), work_dir(spark, "checkpoint"), WIDTH
+    ).awaitTermination()
+    return before_closing(state.read_batches(spark, path).drop("batch"))
+
+
 def _convergence(spark: Spark, d: str) -> DataFrame:
     stream = telemetry.stream_convergence(_states(spark, d), 1, TARGET, "1 minute")
     return before_closing(appended(spark, stream))
@@ -328,6 +376,14 @@ QUERIES: dict[str, Query] = {
             WINDOW_LATEST.replace("__W__", "date_trunc('day', ts)::TIMESTAMP AS window_start"),
         ),
     ),
+    "stream_window_processor": Query(
+        _stream_processor,
+        fx.sql(
+            "peer_state",
+            f"""SELECT {WINDOW}, CAST(partition_id AS BIGINT) AS partition_id, count(*) AS packets,
+CAST(sum(num_entries) AS BIGINT) AS entries, max(num_entries) - min(num_entries) AS spread FROM peer_state GROUP BY ALL""",
+        ),
+    ),
     "stream_convergence": Query(
         _convergence,
         fx.sql(

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.operators.counts import latest_unit
-from shelfmark.operators.units import tracked_unit
+from shelfmark.functions.ids import unit_literal
 from shelfmark.schema import ID, UNIT
 from shelfmark.session import durable
-from shelfmark.streaming.state import DeltaTable, max_per_key, run_batches, write_batch
+from shelfmark.streaming.state import BlockTable, DeltaTable, max_per_key, run_batches, write_batch
 
 FRONTIER_SCHEMA = T.StructType(
     [
@@ -28,10 +27,23 @@ UNIT_STATE_SCHEMA = T.StructType(
         T.StructField("leader_id", T.IntegerType()),
         T.StructField("num_entries", T.LongType()),
         T.StructField("status", T.StringType()),
+        T.StructField("size_seq", T.LongType()),
         T.StructField("pull_status", T.StringType()),
-        T.StructField("seq", T.LongType()),
+        T.StructField("pull_seq", T.LongType()),
     ]
 )
+TRACKED_SCHEMA = T.StructType(
+    [
+        T.StructField("epoch_id", T.LongType()),
+        T.StructField("leader_id", T.IntegerType()),
+        T.StructField("next_id", T.LongType()),
+        T.StructField("num_entries", T.LongType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("pull_status", T.StringType()),
+    ]
+)
+#: Units of so many epochs in a row are one block of the state.
+EPOCHS = 256
 
 
 def frontier_table(path: str) -> DeltaTable:
@@ -199,29 +211,98 @@ def stalled(waiting: DataFrame, frontier: DataFrame) -> DataFrame:
     )
 
 
+def _merged_reports(rows: DataFrame) -> DataFrame:
+    """As ``latest_unit``, with the numbers of the reports that were taken, so it can be repeated."""
+    size = F.struct("num_entries", "status", "size_seq")
+    return rows.groupBy(*UNIT).agg(
+        F.max_by(size, F.struct("num_entries", "size_seq")).alias("s"),
+        F.min_by(F.struct("pull_status", "pull_seq"), F.col("pull_seq")).alias("p"),
+    ).select(*UNIT, "s.*", "p.*")
+
+
+def _judged(units: DataFrame, frontier: DataFrame, first: int, last: int) -> DataFrame:
+    """Units of a range of epochs with their next id, and whether they are left behind."""
+    here = frontier.filter(F.col("epoch_id").between(first, last)).select(*UNIT, "next_id")
+    joined = units.filter(F.col("epoch_id").between(first, last)).join(here, UNIT, "left")
+    known = joined.withColumn("next_id", F.coalesce("next_id", F.lit(0)).cast("long"))
+    whole = (F.col("status") == "COMPLETED") & (F.col("next_id") >= F.col("num_entries"))
+    done = (F.col("pull_status") == "SKIP") | whole
+    return known.withColumn("done", done)
+
+
+def _least_open() -> Column:
+    row = F.struct(*(f.name for f in TRACKED_SCHEMA.fields))
+    return F.min(F.when(~F.col("done"), row)).alias("open")
+
+
+def _walk(units: BlockTable, frontier: DataFrame, spark: SparkSession, batches: int, at: Row | None) -> Row | None:
+    """The first unit from ``at`` on that is not left behind, or the last one before a missing epoch.
+
+    Blocks are read from that of ``at`` on, twice as many each time while all units in them are
+    left behind: a walk reads in proportion to what it passes, in few steps.
+    """
+    expected = at["epoch_id"] if at else 0
+    block, width, last = expected // EPOCHS, 1, None
+    while True:
+        end = (block + width) * EPOCHS - 1
+        here = units.before(spark, range(block, block + width), batches)
+        if at and last is None:
+            here = here.filter(F.struct(*UNIT) >= unit_literal(at["epoch_id"], at["leader_id"]))
+        here = here.filter(F.col("epoch_id").between(expected, end))
+        before = here.select((F.col("epoch_id") - 1).alias("epoch_id"))
+        run = here.select("epoch_id").join(before, "epoch_id", "left_anti").agg(F.min("epoch_id")).scalar()
+        row = F.struct(*(f.name for f in TRACKED_SCHEMA.fields))
+        found = (
+            _judged(here, frontier, expected, end)
+            .filter(F.col("epoch_id") <= run)
+            .agg(_least_open(), F.max(row).alias("last"), F.min("epoch_id").alias("first"))
+            .first()
+        )
+        if found["first"] != expected:
+            return last
+        if found["open"]:
+            return found["open"]
+        last = found["last"]
+        if last["epoch_id"] < end:
+            return last
+        expected, block, width = end + 1, block + width, 2 * width
+
+
 def stream_unit_advance(
     units: DataFrame, frontier: DataFrame, path: str, state_path: str, checkpoint: str
 ) -> StreamingQuery:
     """Follow the unit that is being pulled while unit reports arrive.
 
-    Reports (with an arrival number ``seq``) are merged as ``latest_unit`` does.
-    After each batch the tracked unit is written.
+    Reports (with an arrival number ``seq``) are merged as ``latest_unit`` does, in any order of
+    arrival; units before epoch 0 are never tracked and not kept. After each batch the tracked
+    unit is written. It is a pointer that moves: all safe units before it are left behind, so
+    only those that the batch reports can call it back, and otherwise it walks on from where it
+    stands. A batch reads and writes the blocks of epochs that it reports or that the pointer
+    passes. Next ids of the frontier may grow between batches, not shrink.
     """
-
-    def merge(rows: DataFrame) -> DataFrame:
-        seen = rows.groupBy(*UNIT).agg(F.max("seq").alias("seq"))
-        return latest_unit(rows).join(seen, UNIT)
-
-    table = DeltaTable(state_path, UNIT_STATE_SCHEMA, merge)
+    table = BlockTable(state_path, UNIT_STATE_SCHEMA)
+    block = F.floor(F.col("epoch_id") / EPOCHS).cast("long")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        table.add(batch, batch_id)
-        current = merge(
-            table.before(spark, batch_id).unionByName(
-                spark.read.schema(UNIT_STATE_SCHEMA).parquet(f"{state_path}/delta={batch_id}")
+        reports = durable(
+            batch.filter(F.col("epoch_id") >= 0).select(
+                *UNIT, "num_entries", "status", F.col("seq").alias("size_seq"), "pull_status", F.col("seq").alias("pull_seq")
             )
         )
-        write_batch(tracked_unit(current.drop("seq"), frontier), path, batch_id)
+        blocks = [r[0] for r in reports.select(block).distinct().collect()]
+        at = None
+        if batch_id > 0:
+            at = spark.read.schema(TRACKED_SCHEMA).parquet(f"{path}/batch={batch_id - 1}").first()
+        if blocks:
+            before = table.before(spark, blocks, batch_id)
+            table.write(_merged_reports(before.unionByName(reports)), block, blocks, batch_id)
+            if at:
+                told = table.before(spark, blocks, batch_id + 1).join(reports.select(*UNIT).distinct(), UNIT, "left_semi")
+                behind = _judged(told, frontier, min(blocks) * EPOCHS, at["epoch_id"])
+                behind = behind.filter(F.struct(*UNIT) < unit_literal(at["epoch_id"], at["leader_id"]))
+                at = behind.agg(_least_open()).first()[0] or at
+        at = _walk(table, frontier, spark, batch_id + 1, at)
+        write_batch(spark.createDataFrame([at] if at else [], TRACKED_SCHEMA), path, batch_id)
 
     return run_batches(units, each, checkpoint)

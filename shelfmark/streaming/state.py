@@ -6,7 +6,7 @@ after a failure replaces its own output and reads the same state as before.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from shelfmark.sources.generations import folder_names, remove
+
 # After this many batches the deltas are merged into one snapshot.
 SNAPSHOT_EVERY = 20
 
@@ -81,6 +83,49 @@ class DeltaTable:
         cols = [f.name for f in self.schema.fields]
         delta.select(*cols).write.mode("overwrite").parquet(f"{self.path}/delta={batch_id}")
 
+    def added(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What a batch added, as stored."""
+        return spark.read.schema(self.schema).parquet(f"{self.path}/delta={batch_id}")
+
+
+@dataclass(frozen=True)
+class BlockTable:
+    """A table in numbered blocks. A batch writes the whole of each block that it changes, as a
+    version under its own number, and reads the versions before it.
+
+    A batch costs in proportion to its blocks, however many there are. Of each block the version
+    before the last one stays, so that the last batch can be run again.
+    """
+
+    path: str
+    schema: T.StructType
+
+    def _versions(self, spark: SparkSession, block: int) -> list[int]:
+        names = folder_names(spark, f"{self.path}/block={block}")
+        return sorted(int(n.removeprefix("batch=")) for n in names)
+
+    def before(self, spark: SparkSession, blocks: Iterable[int], batch_id: int) -> DataFrame:
+        """The rows of some blocks as they were before ``batch_id``."""
+        folders = []
+        for block in blocks:
+            earlier = [v for v in self._versions(spark, block) if v < batch_id]
+            if earlier:
+                folders.append(f"{self.path}/block={block}/batch={earlier[-1]}")
+        if not folders:
+            return empty(spark, self.schema)
+        return spark.read.schema(self.schema).parquet(*folders)
+
+    def write(self, rows: DataFrame, block: Column, blocks: Iterable[int], batch_id: int) -> None:
+        """Write the whole of ``blocks``: rows, and the number of the block of each."""
+        cols = [f.name for f in self.schema.fields]
+        placed = rows.select(*cols, block.alias("block"), F.lit(batch_id).alias("batch"))
+        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "block", "batch"
+        ).parquet(self.path)
+        for number in blocks:
+            for old in [v for v in self._versions(rows.sparkSession, number) if v < batch_id][:-1]:
+                remove(rows.sparkSession, f"{self.path}/block={number}/batch={old}")
+
 
 def run_batches(
     stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str

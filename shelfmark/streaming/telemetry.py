@@ -15,7 +15,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.peers import BUCKET, freshest_peers
-from shelfmark.operators.telemetry import lag_of, percentiles_of_counts, shard_overview
+from shelfmark.operators.telemetry import (
+    WindowProcessor,
+    in_windows,
+    lag_of,
+    percentiles_of_counts,
+    shard_overview,
+)
 from shelfmark.schema import ROUTING_ENTRIES, TELEMETRY_WINDOW
 from shelfmark.session import durable
 from shelfmark.streaming.state import DeltaTable, run_batches, write_batch
@@ -144,3 +150,48 @@ def stream_freshest_peers(
         table.add(kept.withColumn("version", F.lit(batch_id).cast("long")), batch_id)
 
     return run_batches(samples, each, checkpoint)
+
+
+LATEST_SCHEMA = T.StructType([T.StructField("latest", T.LongType())])
+
+
+def stream_window_processor(
+    states: DataFrame,
+    processor: WindowProcessor,
+    path: str,
+    state_path: str,
+    checkpoint: str,
+    width: str = TELEMETRY_WINDOW,
+    delay: str = DELAY,
+) -> StreamingQuery:
+    """Run a user's window processor on a stream of packets.
+
+    Each batch adds the partial rows of its own packets to the state, and the results of the
+    windows that end at or before the watermark (the latest packet so far, less ``delay``) are
+    written to the batch's folder; their partial rows leave the state with its next snapshot. So
+    the state holds open windows only, as partial rows. Packets of windows that were closed by an
+    earlier batch, and packets without a time, are ignored.
+    """
+    table = DeltaTable(f"{state_path}/partial", processor.schema, processor.merge)
+    marks = DeltaTable(f"{state_path}/latest", LATEST_SCHEMA, lambda rows: rows.agg(F.max("latest").alias("latest")))
+    columns = [f.name for f in processor.schema.fields]
+
+    def closed(latest: int | None) -> Column:
+        if latest is None:
+            return F.lit(False)
+        end = F.col("window_start") + F.expr(f"INTERVAL {width}")
+        return end <= F.timestamp_micros(F.lit(latest)) - F.expr(f"INTERVAL {delay}")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = marks.before(spark, batch_id).first()[0]
+        packets = in_windows(batch, width).filter(F.col("window_start").isNotNull() & ~closed(before))
+        marks.add(batch.agg(F.unix_micros(F.max("ts")).alias("latest")), batch_id)
+        now = marks.before(spark, batch_id + 1).first()[0]
+        table.add(processor.merge(processor.partial(packets)), batch_id)
+        # What the batch added is read back as written, so the user's code runs once on a packet.
+        added = table.added(spark, batch_id)
+        rows = table.before(spark, batch_id, ~closed(before)).select(columns).unionByName(added)
+        write_batch(processor.finish(processor.merge(rows.filter(closed(now)))), path, batch_id)
+
+    return run_batches(states, each, checkpoint)

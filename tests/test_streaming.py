@@ -221,6 +221,105 @@ def test_unit_advance_follows_reports(spark):
     assert got == [(0, 100), (0, 100), (2, 100)]
 
 
+def test_unit_pointer_equals_the_batch_twin(spark, monkeypatch):
+    """Reports in no order over many batches, with sizes that grow behind the pointer, epochs that
+    are missing for a while, and blocks of three epochs."""
+    from shelfmark.operators.counts import latest_unit
+    from shelfmark.operators.units import tracked_unit
+
+    monkeypatch.setattr(ordered, "EPOCHS", 3)
+    rng = random.Random(3)
+    schema = "epoch_id long, leader_id int, num_entries long, status string, pull_status string, seq long"
+    reports = []
+    for epoch in [*range(16), -2]:
+        for leader in range(100, 101 + epoch % 3):
+            for _ in range(rng.randrange(1, 3)):
+                status = rng.choice(["COMPLETED", "COMPLETED", "COMPLETED", "ONGOING"])
+                reports.append([epoch, leader, rng.randrange(8), status, rng.choice(["PENDING", "SKIP"])])
+    rng.shuffle(reports)
+    seqs = rng.sample(range(1000), len(reports))
+    rows = [(*r, q) for r, q in zip(reports, seqs, strict=True)]
+    # Epoch 0 comes first, so that there is something to follow from the first batch on.
+    rows.sort(key=lambda r: r[0] != 0)
+    parts = [rows[i : i + 9] for i in range(0, len(rows), 9)]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    done = [(e, leader, rng.choice([5, 8, 8, 8])) for e in range(16) for leader in range(100, 103)]
+    frontier = spark.createDataFrame(done, ordered.FRONTIER_SCHEMA)
+    path, state_path = work_dir(spark, "out"), work_dir(spark, "state")
+    ordered.stream_unit_advance(
+        stream_of(spark, parts, schema), frontier, path, state_path, work_dir(spark, "ckpt")
+    ).awaitTermination()
+    written = state.read_batches(spark, path)
+    for batch in range(len(parts)):
+        whole = spark.createDataFrame([r for p in parts[: batch + 1] for r in p], schema)
+        twin = [r.asDict() for r in tracked_unit(latest_unit(whole), frontier).collect()]
+        got = [r.asDict() for r in written.filter(f"batch = {batch}").drop("batch").collect()]
+        assert got == twin, batch
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_unit_pointer_at_flat_cost(spark, monkeypatch):
+    """One unit in each of 12 batches: a batch writes the block that it reports, and of each block
+    two versions stay."""
+    monkeypatch.setattr(ordered, "EPOCHS", 4)
+    schema = "epoch_id long, leader_id int, num_entries long, status string, pull_status string, seq long"
+    parts = [[(b, 100, 2, "COMPLETED", "PENDING", b)] for b in range(12)]
+    parts[-1].append((3, 100, 9, "COMPLETED", "PENDING", 99))
+    frontier = spark.createDataFrame([(b, 100, 2) for b in range(12)], ordered.FRONTIER_SCHEMA)
+    path, state_path = work_dir(spark, "out"), work_dir(spark, "state")
+    read = []
+    original = state.BlockTable.before
+
+    def counted(self, session, blocks, batch_id):
+        blocks = list(blocks)
+        read.append((batch_id, len(blocks)))
+        return original(self, session, blocks, batch_id)
+
+    monkeypatch.setattr(state.BlockTable, "before", counted)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    ordered.stream_unit_advance(
+        stream_of(spark, parts, schema), frontier, path, state_path, work_dir(spark, "ckpt")
+    ).awaitTermination()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    got = {r["batch"]: r["epoch_id"] for r in state.read_batches(spark, path).collect()}
+    assert got == {b: b for b in range(11)} | {11: 3}
+    assert max(n for _, n in read[:-4]) <= 2
+    table = state.BlockTable(state_path, ordered.UNIT_STATE_SCHEMA)
+    assert all(len(table._versions(spark, b)) <= 2 for b in range(3))
+
+
+def test_window_processor_on_a_stream(spark):
+    """User code in three steps, its first in Python, equals the batch form; open windows alone are
+    kept, and packets behind the watermark are ignored."""
+    from pyspark.sql import types as T
+
+    from shelfmark.operators import telemetry as batch
+
+    schema = T.StructType([T.StructField("window_start", T.TimestampType()), *(T.StructField(c, T.LongType()) for c in ("top", "packets"))])
+
+    def busiest(rows):
+        found = rows.groupby("window_start", as_index=False)["num_entries"].agg(["max", "size"])
+        return found.rename(columns={"max": "top", "size": "packets"})
+
+    processor = batch.WindowProcessor(
+        batch.python_partial(busiest, schema),
+        lambda rows: rows.groupBy("window_start").agg(F.max("top").alias("top"), F.sum("packets").alias("packets")),
+        lambda rows: rows.select("window_start", (F.col("top") * F.col("packets")).alias("load")),
+        schema,
+    )
+    parts, whole = states(spark)
+    late = parts[0].limit(5)
+    path, state_path = work_dir(spark, "out"), work_dir(spark, "state")
+    telemetry.stream_window_processor(
+        stream_of(spark, [*parts, late]), processor, path, state_path, work_dir(spark, "ckpt")
+    ).awaitTermination()
+    out = state.read_batches(spark, path)
+    assert closed(out) == closed(batch.process_windows(whole, processor))
+    assert out.filter("window_start < '2024-01-02'").select("batch").distinct().count() > 2
+    assert spark.read.parquet(f"{state_path}/partial/delta=5").isEmpty()
+    assert spark.read.parquet(f"{state_path}/partial/delta=2").count() == 2
+
+
 def test_routing_table_changes_by_bucket(spark):
     """A batch writes the buckets that it touches, and the table equals that of all samples."""
     from shelfmark.operators.peers import BUCKET, freshest_peers
