@@ -1,17 +1,23 @@
 """Personal data: patterns, and information-theoretic sanitisation of what else gives it away.
 
-An entity is a value that the patterns find (an address, a number). How much a term of the same
-text discloses of it is the pointwise mutual information of the two over all documents, as a
-share of the entity's own information: 1 where the term stands only with the entity, 0 where it
-is as frequent as anywhere. The share is lowered by the odds that the two met by chance: even for
-a pair seen in one text, and smaller by the entity's frequency for every further text. Terms at or
-above one threshold are generalised, at or above a higher one removed, in the documents that hold
-the entity.
+An entity is a value that the patterns find (an address, a number). A term meets it where it is
+one of the ``NEAR`` terms before or behind the value. How much a term discloses of an entity that
+it meets is the pointwise mutual information of the two over all documents, as a share of the
+entity's own information: 1 where the term stands only near the entity, 0 where it is as frequent
+as anywhere. The share is lowered by the odds that the two met by chance: even for a pair seen in
+one text, and smaller by the entity's frequency for every further text. Terms at or above one
+threshold are generalised, at or above a higher one removed, in the documents that hold the entity.
+
+A share alone is no evidence: a term of one document meets whatever is there. So a lower bound of
+the chance that the term stands near the entity (Wilson's, one standard error, over different
+texts) must reach ``TRUST``, which takes two texts, however many documents there are; a single
+meeting reaches ``TRUST_BESIDE``, which is enough for the ``BESIDE`` terms next to the value.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -29,6 +35,10 @@ from shelfmark.llm.work import durable, free_name, held, key_filter, rows_in_fil
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 GENERALISE = 0.9
 REMOVE = 0.99
+NEAR = 8
+BESIDE = 3
+TRUST = 0.6
+TRUST_BESIDE = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -40,6 +50,8 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 
 SPAN = "array<struct<kind:string,start:long,end:long>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+MET_TYPE = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("beside", pa.bool_())]))
+MET_SCHEMA = "text_key string, met array<struct<entity:string,term:string,beside:boolean>>"
 BASE_SCHEMA = f"doc_id long, text_key string, base {SPAN}, entities array<string>"
 
 
@@ -124,12 +136,28 @@ def term_set(text: str) -> set[str]:
     return {t.lower() for t in _TERM.findall(text)}
 
 
+def near_terms(text: str) -> dict[tuple[str, str], bool]:
+    """Pairs of an entity and a term that meet in the text, and whether they stand side by side."""
+    found = list(terms(text))
+    starts = [start for _, start, _ in found]
+    pairs: dict[tuple[str, str], bool] = {}
+    for kind, start, _, value in base_spans(text):
+        at = bisect_left(starts, start)
+        for i in range(max(0, at - NEAR), min(len(found), at + NEAR)):
+            pair = f"{kind}:{value}", found[i][0]
+            pairs[pair] = pairs.get(pair, False) or at - BESIDE <= i < at + BESIDE
+    return pairs
+
+
 def _text_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            found = [sorted({t for t, _, _ in terms(x.as_py())}) for x in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], names=["text_key", "terms"])
+            found = [
+                [{"entity": e, "term": t, "beside": beside} for (e, t), beside in sorted(near_terms(x.as_py()).items())]
+                for x in part.column(1)
+            ]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, MET_TYPE)], names=["text_key", "met"])
 
 
 def _count_known(known: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -167,6 +195,13 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text"))
 
 
+def _least_share(hits: Column, misses: Column) -> Column:
+    """Wilson's lower bound, at one standard error, of the share of hits."""
+    n = hits + misses
+    p = hits / n
+    return (p + 1 / (2 * n) - F.sqrt(p * (1 - p) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+
+
 @dataclass
 class Disclosures:
     """Base spans of every row, and spans of disclosing terms by text."""
@@ -178,11 +213,13 @@ class Disclosures:
 def disclosures(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> Disclosures:
     """Base spans by row, and the spans of terms that disclose an entity, by text.
 
-    Every term is weighed against every entity of its texts; all counts are of documents, over
-    the whole corpus. Of N documents e hold the entity, t the term and b both, in d different
-    texts; the share is ``log(b * N / (t * e * (1 + (e / N) ** (d - 1)))) / log(N / e)``. As b is
-    at most e, a pair with ``t > e * (N / e) ** (1 - generalise)`` cannot reach the threshold, and
-    is dropped before the joint counts. An entity of all documents has nothing to disclose.
+    Every term is weighed against every entity that it meets; all counts are over the whole
+    corpus. Of N documents e hold the entity, t the term, and in b of them, of d different texts,
+    the two meet; the share is ``log(b * N / (t * e * (1 + (e / N) ** (d - 1)))) / log(N / e)``. As
+    b is at most e, a pair with ``t > e * (N / e) ** (1 - generalise)`` cannot reach the threshold,
+    and is dropped before the joint counts. The bound on evidence is of d meetings against t - b
+    documents without one. An entity of all documents has nothing to disclose. A value brings at
+    most 2 * ``NEAR`` pairs, so pairs grow with the values found, not with the length of texts.
     """
     small_batches(docs.sparkSession)
     rows = _whole(docs)
@@ -199,28 +236,30 @@ def disclosures(docs: DataFrame, generalise: float = GENERALISE, remove: float =
     wanted = key_filter(held_in.select(F.xxhash64("text_key").alias("hash")), "hash")
     likely = rows_in_filter(rows.select("text_key", "text"), "text_key", wanted)
     texts = durable(likely.groupBy("text_key").agg(F.first("text").alias("text")))
-    text_terms = durable(texts.mapInArrow(_text_terms, "text_key string, terms array<string>"))
-    text_terms = text_terms.select("text_key", F.explode("terms").alias("term"))
+    met = durable(texts.mapInArrow(_text_terms, MET_SCHEMA)).select("text_key", F.inline("met"))
     crc = F.crc32(F.col("term").cast("binary"))
     term_key = crc.bitwiseOR(F.shiftleft(crc, 32))
-    known = key_filter(text_terms.select(term_key.alias("hash")), "hash")
+    known = key_filter(met.select(term_key.alias("hash")), "hash")
     n_term = rows.select("text").mapInArrow(_count_known(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     corpus, n_entity = F.lit(float(total)), F.col("n_entity")
     most = n_entity * F.pow(corpus / n_entity, F.lit(1 - generalise))
     pairs = durable(
-        text_terms.join(n_term, "term").join(held_in, "text_key").filter(F.col("n_term") <= most * (1 + 1e-9))
+        met.join(n_term, "term").join(held_in, ["text_key", "entity"]).filter(F.col("n_term") <= most * (1 + 1e-9))
     )
     joint = pairs.groupBy("term", "entity").agg(
         F.sum("copies").alias("n_both"),
         F.count(F.lit(1)).alias("texts"),
+        F.bool_or("beside").alias("beside"),
         F.first("n_term").alias("n_term"),
         F.first("n_entity").alias("n_entity"),
     )
     chance = 1 + F.pow(n_entity / corpus, F.col("texts") - 1)
     told = F.log(F.col("n_both") * corpus / (F.col("n_term") * n_entity * chance))
+    trust = _least_share(F.col("texts").cast("double"), (F.col("n_term") - F.col("n_both")).cast("double"))
+    sure = (trust >= TRUST) | (F.col("beside") & (trust >= TRUST_BESIDE))
     telling = durable(
         joint.withColumn("share", told / F.log(corpus / n_entity))
-        .filter(F.col("share") >= generalise)
+        .filter((F.col("share") >= generalise) & sure)
         .select("term", "entity", F.when(F.col("share") >= remove, KINDS[5]).otherwise(KINDS[4]).alias("kind"))
     )
     per_text = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
 import numpy as np
@@ -27,9 +28,11 @@ from shelfmark.llm.language_queries import op2_naive_bayes_language
 from shelfmark.llm.personal_data import (
     GENERALISE,
     KINDS,
+    NEAR,
     REMOVE,
     base_spans,
     find_personal_data,
+    near_terms,
     sanitise,
     sanitised,
     terms,
@@ -220,6 +223,41 @@ def test_values_of_one_or_two_texts(spark):
     assert not {w for _, w in got} & {"the", "office", "report", "gardening", "ask"}
 
 
+def test_planted_names_and_rare_words_far_from_values(spark):
+    """Names near an address in two texts or more are caught; words of one document that stand away
+    from its address stay, and so do those near it that are found elsewhere as well."""
+    rng = random.Random(4)
+    words = [f"w{c}{d}" for c in "abcdefgh" for d in "qrstuvxyz"]
+    plain = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    letters = "abcdefghij"
+    names = [f"Name{letters[i // 10]}{letters[i % 10]}" for i in range(30)]
+    rows = [(i, plain(60)) for i in range(1500)]
+    for i, name in enumerate(names):
+        for copy in range(2 + i % 3):
+            rare = " ".join(f"rare{letters[i // 10]}{letters[i % 10]}{letters[copy]}{c}" for c in "klmnop")
+            text = f"{rare} {plain(30)} {name} {plain(3)} agent{letters[i % 10]}@mail{i}.net {plain(30)}"
+            rows.append((10_000 + 10 * i + copy, text))
+    rows += [(20_000 + i, f"{plain(10)} {names[0]} {plain(10)}") for i in range(3)]
+    text_of, masked = dict(rows), {}
+    for r in find_personal_data(documents(spark, rows)).collect():
+        masked[r.doc_id] = {text_of[r.doc_id][a:b] for kind, a, b in r.spans if kind in KINDS[4:]}
+    planted = [i for i in text_of if 10_010 <= i < 20_000]
+    caught = sum(names[(i - 10_000) // 10] in masked[i] for i in planted)
+    assert caught >= 0.9 * len(planted)
+    assert not any("rare" in w for found in masked.values() for w in found)
+    assert not any(names[0] in found for found in masked.values())
+    assert sum(len(found) for found in masked.values()) <= 1.1 * len(planted)
+
+
+def test_pairs_grow_with_values_not_with_texts():
+    """A list of many addresses among many words: a bounded number of pairs for each address."""
+    text = " ".join(f"word{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]} a{i}@b.org" for i in range(3000))
+    assert len(near_terms(text)) <= 3000 * 2 * NEAR
+    assert near_terms("one two six ten all a@b.org") == {
+        ("email:a@b.org", w): w in ("six", "ten", "all") for w in ("one", "two", "six", "ten", "all")
+    }
+
+
 def test_names_inside_addresses_are_not_counted(spark):
     """A name that is part of its address too is counted where it stands plainly, as all counts are."""
     rows = [(i, f"the report {i} is sent by the office") for i in range(1000)]
