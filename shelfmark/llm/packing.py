@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,22 +63,26 @@ class Encoder:
 def _pieces(path: str, end_id: int, groups: int, sequence: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, end_id)
-        row = 0
+        # How many rows of the same id and text the task has met: equal rows go to different groups,
+        # and the order in which rows reach the task decides nothing.
+        met: Counter[int] = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = part.column(0).to_pylist()
                 texts = part.column(1).fill_null("").to_pylist()
                 task = part.column(2)[0].as_py()
+                keys = part.column(3).to_pylist()
                 out: list[tuple] = []
-                for doc_id, text in zip(ids, texts, strict=True):
+                for doc_id, text, key in zip(ids, texts, keys, strict=True):
                     tokens = encoder.encode(text)
                     total = len(tokens) // 4
                     for start in range(0, total, sequence):
-                        place = task << 44 ^ row << 16 ^ start // sequence
-                        out.append((place, doc_id, start, tokens[4 * start : 4 * (start + sequence)], total))
-                    row += 1
+                        place = task << 44 ^ met[key] << 16 ^ start // sequence
+                        out.append((place, doc_id, start, tokens[4 * start : 4 * (start + sequence)], total, key))
+                    met[key] += 1
                 mixed = mix(np.array([x[0] % 2**64 for x in out], np.uint64))
+                mixed = mix(mixed ^ np.array([x[5] for x in out], np.int64).view(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array((mixed % np.uint64(groups)).astype(np.int64)),
@@ -156,8 +161,9 @@ def pack(
 
     A document is its text's ids and ``end_id``; a null text is empty and has that id alone.
     It is cut every ``sequence`` ids, and the pieces of a group are packed first-fit decreasing.
-    Groups take pieces by a hash of their place, about ``group_documents`` documents each, so
-    neither a long document nor a repeated row fills one. Returns a row for each piece with its
+    Groups take pieces by a hash of their id, text and place, about ``group_documents`` documents
+    each, so neither a long document nor a repeated row fills one, and a task that is run again
+    deals its pieces as before, in whichever order rows reach it. Returns a row for each piece with its
     ids (little-endian, 32 bits), its document's number of ids, its sequence and its offset
     there; sequences have no gaps. Rows that share a doc_id are separate documents with equal
     names; a null doc_id stays null. An empty table gives no rows; other columns are ignored.
@@ -166,6 +172,8 @@ def pack(
     """
     small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_documents))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("task"))
+    doc_id = F.col("doc_id").cast("long")
+    key = F.xxhash64(doc_id, F.coalesce("text", F.lit("")))
+    named = docs.select(doc_id.alias("doc_id"), "text", F.spark_partition_id().alias("task"), key.alias("key"))
     pieces = named.mapInArrow(_pieces(tokenizer_path, end_id, groups, sequence), PIECES_SCHEMA)
     return pieces.groupBy("group_id").applyInArrow(_pack_group(sequence), PACKED_SCHEMA)

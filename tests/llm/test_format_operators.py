@@ -117,6 +117,19 @@ def test_packing_of_odd_rows(spark):
     assert pack(spark.createDataFrame([], DOC_SCHEMA), tokenizer_path()).collect() == []
 
 
+def test_groups_do_not_depend_on_the_order_of_rows(spark):
+    """The same rows of a task in another order, with equal rows and null ids among them, give the
+    same pieces in the same places; equal rows spread over the groups."""
+    rows = [(i, prose(i, 50)) for i in range(30)] + [(7, prose(7, 50))] * 20 + [(None, "a b c")] * 3 + [(8, None)]
+    mixed = random.Random(2).sample(rows, len(rows))
+    packed = [
+        sorted(map(tuple, pack(documents(spark, given).coalesce(1), tokenizer_path(), group_documents=6).collect()), key=repr)
+        for given in (rows, mixed)
+    ]
+    assert packed[0] == packed[1]
+    assert len({r[5] >> 32 for r in packed[0] if r[0] == 7}) > 3
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_encoder(text):
