@@ -10,7 +10,8 @@ each is first aligned with the least text of one of its buckets, then with the l
 all. What remains are pairs of a bucket that are not connected by then. In a small bucket these
 are aligned as they are. In a larger one, as a common passage makes it, texts meet only if they
 also share one of their rarest words: two texts within the distance have most words in common,
-so each of them must have a common word among a few of its own, in any order of the words.
+so each of them must have a common word among a few of its own, in any order of the words. They
+meet once, at the first of these, and only if enough words follow it in both texts.
 """
 
 from __future__ import annotations
@@ -44,14 +45,17 @@ SIMILARITY = 0.8
 SMALL_BUCKET = 16
 #: Words are ordered by counts in so many slots, then by hash: any order serves, if all share it.
 COUNT_SLOTS = 2**18
-#: And a rare word that has a slot of this many to itself is in one text only.
-SINGLE_SLOTS = 2**22
+#: And a rare word whose slots, for the lengths that a linked text may have, hold texts of one label
+#: only leads nowhere. Lengths are told apart in classes, each so many times as long as the one before.
+SINGLE_SLOTS = 2**26
+CLASS_RATIO = 1.25
 #: Words of a text are counted in so many bins, to tell unlike texts apart before they are aligned.
 BINS = 256
 SKETCH_SCHEMA = "doc_id long, key_a long, key_b long, n_words long, sketches array<long>, bins binary"
-RARE_SCHEMA = "node long, rare array<long>"
+RARE_SCHEMA = "node long, rare array<long>, n long, label long"
+WORD_SCHEMA = "node long, label long, n long, left long, key long, before array<long>"
 EDGE_SCHEMA = "a long, b long"
-RIGHT = {"node": "b", "n": "m", "label": "label_b"}
+RIGHT = {"node": "b", "n": "m", "label": "label_b", "left": "left_b", "before": "before_b"}
 
 
 def _text_keys(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -120,46 +124,95 @@ def _labelled(words: Words) -> np.ndarray:
     return mix(words.hashes + labels.astype(U64) * U64(0xD1B54A32D192ED03))
 
 
-def _told(counts: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
-
-
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many words of all texts fall into each slot."""
     counts = np.zeros(COUNT_SLOTS, np.int64)
     for batch in batches:
         for words in word_slices(batch.column(1)):
             counts += np.bincount((_labelled(words) % U64(COUNT_SLOTS)).astype(np.int64), minlength=COUNT_SLOTS)
-    yield _told(counts)
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
 
 
-def _rare_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rare words fall into each slot."""
-    counts = np.zeros(SINGLE_SLOTS, np.int32)
-    for batch in batches:
-        keys = batch.column(1).flatten().to_numpy(False).view(U64)
-        np.add.at(counts, (keys >> U64(40)).astype(np.int64) % SINGLE_SLOTS, 1)
-    yield _told(counts.astype(np.int64))
+def _parts(rare: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rare words of a batch of texts one by one: key, row, and place in the order of the row."""
+    keys = rare.column(1).flatten().to_numpy(False)
+    sizes = rare.column(1).value_lengths().to_numpy(False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return keys, row, np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[row]
 
 
-def _repeated(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One row for each rare word of a text that another text may have as well."""
+def _word_slots(keys: np.ndarray, n: np.ndarray, left: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of each word: one for each class of lengths from that of its text to that of the
+    longest text which may have the words left in common with it. Two linkable texts, at their
+    first common word, have a slot in common. Also where the slots of each word begin."""
+    low, high = (
+        np.floor(np.log(x) / np.log(CLASS_RATIO)).astype(np.int64) for x in (n, np.maximum(n, left / similarity + 1e-6))
+    )
+    classes = high - low + 1
+    first = np.cumsum(classes) - classes
+    at = np.repeat(np.arange(len(keys)), classes)
+    number = (low[at] + np.arange(len(at)) - first[at]).astype(U64)
+    return (mix(keys.view(U64)[at] + number * U64(0xD1B54A32D192ED03)) % U64(SINGLE_SLOTS)).astype(np.int64), first
+
+
+def _label_slots(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The least and the greatest label of the rare words that fall into each slot."""
+
+    def label_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, row, place = _parts(batch)
+            n = batch.column(2).to_numpy(False)[row]
+            slots, begun = _word_slots(keys, n, n - place, similarity)
+            labels = np.repeat(batch.column(3).to_numpy(False)[row], np.diff(np.append(begun, len(slots))))
+            order = np.lexsort((labels, slots))
+            slots, labels = slots[order], labels[order]
+            first = np.flatnonzero(np.diff(slots, prepend=-1))
+            last = np.append(first, len(slots))[1:] - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots[first]), pa.array(labels[first]), pa.array(labels[last])], names=["slot", "low", "high"]
+            )
+
+    return label_slots
+
+
+def _repeated(shared: Broadcast, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each rare word by which a text may meet one of another label, with how many words
+    of the text are left from it on, and those of its rows that come before."""
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy(False)
-            nodes = np.repeat(batch.column(0).to_numpy(False), lists.value_lengths().to_numpy(False))
-            keep = shared.value[(keys.view(U64) >> U64(40)).astype(np.int64) % SINGLE_SLOTS]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(keys[keep])], names=["node", "word"])
+            keys, row, place = _parts(batch)
+            if not len(keys):
+                continue
+            n = batch.column(2).to_numpy(False)[row]
+            slots, begun = _word_slots(keys, n, n - place, similarity)
+            met = (shared.value[slots >> 6] >> (slots & 63).astype(U64)) & U64(1)
+            keep = np.maximum.reduceat(met, begun) > 0
+            keys, row, place, n = keys[keep], row[keep], place[keep], n[keep]
+            kept = np.bincount(row, minlength=batch.num_rows)
+            first = (np.cumsum(kept) - kept)[row]
+            before = np.arange(len(keys)) - first
+            edges = np.concatenate([[0], np.cumsum(before)]).astype(np.int32)
+            earlier = np.repeat(first - edges[:-1], before) + np.arange(edges[-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(batch.column(0).to_numpy(False)[row]),
+                    pa.array(batch.column(3).to_numpy(False)[row]),
+                    pa.array(n),
+                    pa.array(n - place),
+                    pa.array(keys),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(keys[earlier])),
+                ],
+                names=["node", "label", "n", "left", "key", "before"],
+            )
 
     return repeated
 
 
 def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Keys of the rarest words of each text, as many as it may differ in from a text it is linked
-    to, and one more."""
+    to, and one more; and the number of all its words."""
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,29 +229,44 @@ def _rarest(counts: Broadcast, similarity: float) -> Callable[[Iterator[pa.Recor
                     [
                         batch.column(0).slice(words.first_row, words.rows),
                         pa.ListArray.from_arrays(pa.array(edges), pa.array(rare.view(np.int64))),
+                        pa.array(n.astype(np.int64)),
+                        *(column.slice(words.first_row, words.rows) for column in batch.columns[2:]),
                     ],
-                    names=["node", "rare"],
+                    names=["node", "rare", "n", *batch.schema.names[2:]],
                 )
 
     return rarest
 
 
-def _counted(slots: DataFrame, size: int) -> np.ndarray:
-    """Sums by slot: as many rows as slots reach the driver at most."""
-    counted = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(size, np.int64)
-    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    return counts
-
-
 def rare_words(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, word) of a table (doc_id, text): keys of the rarest words of each text, without those
-    that only one text has. Two texts whose word edit similarity reaches the threshold share one."""
+    """The rarest words (``key``) of each text of a table (doc_id, text, label), without those that
+    only texts of one label, or of other lengths, have. Two texts of unlike labels whose word edit
+    similarity reaches the threshold share one. At most ``SINGLE_SLOTS`` / 64 rows reach the driver."""
     context = texts.sparkSession.sparkContext
-    counts = _counted(texts.mapInArrow(_slots, "slot long, n long"), COUNT_SLOTS)
+    counted = texts.mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNT_SLOTS, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     rare = durable(texts.mapInArrow(_rarest(context.broadcast(counts), similarity), RARE_SCHEMA))
-    several = _counted(rare.mapInArrow(_rare_slots, "slot long, n long"), SINGLE_SLOTS) > 1
-    return durable(rare.mapInArrow(_repeated(context.broadcast(several)), "node long, word long"))
+    ends = rare.mapInArrow(_label_slots(similarity), "slot long, low long, high long").groupBy("slot")
+    ends = ends.agg(F.min("low").alias("low"), F.max("high").alias("high")).filter(F.col("low") < F.col("high"))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    several = ends.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    shared = np.zeros(SINGLE_SLOTS // 64, U64)
+    shared[several["at"].to_numpy()] = several["bits"].to_numpy().view(U64)
+    return durable(rare.mapInArrow(_repeated(context.broadcast(shared), similarity), WORD_SCHEMA))
+
+
+def _pairs_by_word(rare: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of unlike labels that share a rare word, each at the first one they share, if
+    the words from there on can be as many as two linked texts have in common."""
+    right = rare.select([F.col(c).alias(RIGHT.get(c, c)) for c in rare.columns])
+    found = rare.join(right, "key").filter(
+        (F.col("node") < F.col("b"))
+        & (F.col("label") != F.col("label_b"))
+        & (F.least("left", "left_b") >= F.greatest("n", "m") * similarity - 1e-9)
+        & ~F.arrays_overlap("before", "before_b")
+    )
+    return found.select(F.col("node").alias("a"), "b")
 
 
 def _align(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -310,9 +378,12 @@ def near_copies(
         parted.join(large, "key").groupBy("node", "n", "label").agg(F.collect_list("key").alias("keys"))
     )
     nodes_met = met.select(F.xxhash64("node").alias("hash")).distinct()
-    rare = rare_words(rows_in_filter(texts, "doc_id", key_filter(nodes_met, "hash")), similarity)
+    texts_met = rows_in_filter(texts, "doc_id", key_filter(nodes_met, "hash"))
+    # Dealt by id: texts of a common passage may stand together in the table.
+    named = met.select(F.col("node").alias("doc_id"), "label").distinct()
+    texts_met = durable(texts_met.repartition("doc_id").join(named, "doc_id").select("doc_id", "text", "label"))
     # A common passage is no key of this join, as one of its rarest words a text is not.
-    by_word = durable(_apart(met.drop("keys").join(rare.withColumnRenamed("word", "key"), "node")))
+    rare = rare_words(texts_met, similarity)
     few = parted.join(large, "key", "left_anti")
 
     def pairs_of(left: DataFrame) -> DataFrame:
@@ -322,7 +393,7 @@ def near_copies(
 
     # Those that met by a word must have a bucket in common as well.
     held = met.select("node", "keys")
-    by_word = pairs_of(by_word).join(held.toDF("a", "keys_a"), "a").join(held.toDF("b", "keys_b"), "b")
+    by_word = _pairs_by_word(rare, similarity).join(held.toDF("a", "keys_a"), "a").join(held.toDF("b", "keys_b"), "b")
     by_word = by_word.filter(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
     rest = pairs_of(few).unionByName(by_word).distinct()
     edges = edges.unionByName(verified(rest))

@@ -12,7 +12,15 @@ from llm_support import DOC_SCHEMA, changed, components_of, distance, documents,
 
 from shelfmark.llm.alignment import banded_distance, near
 from shelfmark.llm.components import components
-from shelfmark.llm.near_copies import COUNT_SLOTS, _rarest, _slots, keep_one_of_each, near_copies
+from shelfmark.llm.near_copies import (
+    COUNT_SLOTS,
+    _pairs_by_word,
+    _rarest,
+    _slots,
+    keep_one_of_each,
+    near_copies,
+    rare_words,
+)
 from shelfmark.llm.order_sketch import order_sketches
 from shelfmark.llm.words import word_slices
 
@@ -112,6 +120,30 @@ def test_linked_texts_share_a_rare_word(texts):
                 assert set(rare[i]) & set(rare[j])
 
 
+def test_texts_meet_once_and_only_if_enough_words_follow(spark):
+    """Texts of few words in all lengths: each linkable pair of unlike labels meets at one word, and
+    most of the other pairs that share rare words never do."""
+    texts = [(i, prose(i, 20 + i % 60, 300)) for i in range(300)]
+    texts += [(1000 + i, changed(texts[i][1], 0.1, i)) for i in range(300)]
+    # One label for a group that shares most of its words: these lead to no other label.
+    texts += [(5000 + i, changed(prose(999, 120, 10**6), 0.02, i)) for i in range(100)]
+    labels = [5000 if i >= 5000 else i for i, _ in texts]
+    rows = [(i, t, label) for (i, t), label in zip(texts, labels, strict=True)]
+    words = rare_words(spark.createDataFrame(rows, "doc_id long, text string, label long").repartition(3))
+    kept = words.collect()
+    assert not any(r.node >= 5000 for r in kept)
+    pairs = [(r.a, r.b) for r in _pairs_by_word(words, 0.8).collect()]
+    assert len(pairs) == len(set(pairs))
+    split = {i: t.encode().split() for i, t in texts}
+    linked = {(i, 1000 + i) for i in range(300) if near(split[i], split[1000 + i], 0.8)}
+    assert len(linked) > 200 and linked <= set(pairs)
+    by_key = {}
+    for r in kept:
+        by_key.setdefault(r.key, set()).add(r.node)
+    sharing = {(a, b) for some in by_key.values() for a in some for b in some if a < b}
+    assert len(pairs) < len(sharing) / 3
+
+
 def rows_of(rows, doc_id):
     return dict(rows)[doc_id].lower().encode().split()
 
